@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -41,54 +42,88 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+@dataclass
+class StepEdges:
+    """Edges ready to be walked: written once, with the links of hub nodes spread over salts."""
+
+    edges: DataFrame
+    hubs: DataFrame | None
+
+
+def step_edges(edges: DataFrame) -> StepEdges:
+    salted, hot = split_hot_keys(edges.select("src", "dst"), "src", ["dst"])
+    salted, hot = stage(salted, "edges"), stage(hot, "hubs")
+    return StepEdges(salted, None if hot.isEmpty() else hot)
+
+
+def _walk(steps: StepEdges, frontier: DataFrame, keep: list[str]) -> DataFrame:
+    """The nodes one step from the frontier's nodes."""
+    at = frontier.withColumnRenamed("node", "src")
+    if steps.hubs is not None:
+        met = fan_out_hot_keys(at, steps.hubs, "src").join(steps.edges, ["src", "salt"])
+    else:
+        met = at.join(steps.edges, "src")
+    return met.select(*keep, F.col("dst").alias("node")).distinct()
+
+
+def reach(
+    edges: DataFrame | StepEdges,
+    seeds: DataFrame,
+    max_depth: int | None = None,
+    hops_per_round: int = 4,
+) -> DataFrame:
     """(seed, node, distance) for everything reachable from each seed, seeds excluded.
 
-    One join per level from the nodes found last; nodes found earlier are dropped by an anti
-    join, so cycles end the walk. Every level is written once. Hub nodes are split by their
-    out-degree, so one hub does not become one task. A `depth` column on seeds bounds each seed
-    on its own; max_depth bounds all of them.
+    A round walks several hops in one plan; the hops share their shuffles (Spark reuses equal
+    exchanges), so a round costs as many joins as it has hops. What a round finds is reduced to
+    the shortest distance, rid of pairs found before (so cycles end the walk) and written once;
+    the pairs first met at its last hop start the next round. A `depth` column on seeds bounds
+    each seed on its own. A walk that fits in one round is returned as a plan, not written.
     """
-    has_depth = "depth" in seeds.columns
-    start = seeds.select("seed", *(["depth"] if has_depth else [])).distinct()
-    salted, hot = split_hot_keys(edges.select("src", "dst"), "src", ["dst"])
-    salted = stage(salted, "edges")
-    hot = stage(hot, "hubs")
-    hubs_exist = not hot.isEmpty()
-    frontier = start.select("*", F.col("seed").alias("node"))
-    seen = stage(frontier.select("seed", "node"), "seeds")
-    levels: list[DataFrame] = []
-    distance = 0
-    while max_depth is None or distance < max_depth:
-        distance += 1
-        walking = frontier.where(F.col("depth") >= distance) if has_depth else frontier
-        walking = walking.withColumnRenamed("node", "src")
-        if hubs_exist:
-            stepped = fan_out_hot_keys(walking, hot, "src").join(salted, ["src", "salt"])
-        else:
-            stepped = walking.join(salted, "src")
-        keep = ["seed", *(["depth"] if has_depth else [])]
-        found = (
-            stepped.select(*keep, F.col("dst").alias("node"))
-            .distinct()
-            .join(seen, ["seed", "node"], "left_anti")
+    steps = edges if isinstance(edges, StepEdges) else step_edges(edges)
+    bounded = "depth" in seeds.columns
+    keep = ["seed", *(["depth"] if bounded else [])]
+    # Partitioned by seed and node, so that no step clusters all of one seed's pairs in a task.
+    start = (
+        seeds.select(*keep).distinct().withColumn("node", F.col("seed"))
+        .repartition("seed", "node")
+    )
+    seen = start.select("seed", "node")
+    frontier, rounds, walked = start, [], 0
+    single = max_depth is not None and max_depth <= max(hops_per_round, MAX_TRACE_DEPTH)
+    while max_depth is None or walked < max_depth:
+        hops = max_depth if single else hops_per_round
+        if max_depth is not None:
+            hops = min(hops, max_depth - walked)
+        found, at = [], frontier
+        for hop in range(1, hops + 1):
+            going = at.where(F.col("depth") >= walked + hop) if bounded else at
+            at = _walk(steps, going, keep)
+            found.append(at.withColumn("distance", F.lit(walked + hop)))
+        walked += hops
+        nearest = reduce(DataFrame.union, found).groupBy(*keep, "node").agg(
+            F.min("distance").alias("distance")
         )
-        frontier = stage(found, f"level{distance}")
-        if frontier.isEmpty():
+        if single:
+            return nearest.where("seed <> node").select("seed", "node", "distance")
+        fresh = stage(nearest.join(seen, ["seed", "node"], "left_anti"), f"reach{walked}")
+        if fresh.isEmpty():
             break
-        level = frontier.select("seed", "node")
-        seen = seen.union(level)
-        levels.append(level.withColumn("distance", F.lit(distance)))
-    if not levels:
-        return frontier.select("seed", "node").withColumn("distance", F.lit(1)).limit(0)
-    return reduce(DataFrame.union, levels)
+        rounds.append(fresh.select("seed", "node", "distance"))
+        seen = seen.union(fresh.select("seed", "node"))
+        frontier = fresh.where(F.col("distance") == walked).drop("distance")
+    if not rounds:
+        return fresh.select("seed", "node", "distance")
+    return reduce(DataFrame.union, rounds)
 
 
 def table_closure(catalog: Catalog) -> DataFrame:
     """(seed, node) for every pair of tables where seed feeds node, at any distance."""
 
     def build() -> DataFrame:
-        edges = catalog.table_table_edges.selectExpr("parent_table_id AS src", "child_table_id AS dst")
+        edges = catalog.table_table_edges.selectExpr(
+            "parent_table_id AS src", "child_table_id AS dst"
+        )
         return reach(edges, edges.select(F.col("src").alias("seed"))).select("seed", "node")
 
     return catalog.once("table_closure", build)
@@ -100,7 +135,7 @@ def table_reach(catalog: Catalog) -> DataFrame:
     return table_closure(catalog).union(own)
 
 
-def reach_within(edges: DataFrame, requests: DataFrame) -> DataFrame:
+def reach_within(edges: DataFrame | StepEdges, requests: DataFrame) -> DataFrame:
     """requests(seed, depth) -> (seed, depth, node, distance).
 
     Each seed is walked once, to the largest depth asked for it.
@@ -111,12 +146,17 @@ def reach_within(edges: DataFrame, requests: DataFrame) -> DataFrame:
     return found.join(asked, "seed").where(F.col("distance") <= F.col("depth"))
 
 
-def directed_edges(catalog: Catalog, direction: str) -> DataFrame:
-    """The lineage edges in walking order."""
+def directed_edges(catalog: Catalog, direction: str) -> StepEdges:
+    """The lineage edges in walking order, prepared once per session."""
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"direction must be upstream or downstream, not {direction!r}")
-    edges = lineage_edges(catalog).select("src", "dst")
-    return reversed_edges(edges) if direction == "upstream" else edges
+    key = f"steps_{direction}"
+    if key not in catalog.prepared:
+        edges = lineage_edges(catalog).select("src", "dst")
+        catalog.prepared[key] = step_edges(
+            reversed_edges(edges) if direction == "upstream" else edges
+        )
+    return catalog.prepared[key]
 
 
 def bfs(catalog: Catalog, requests: DataFrame, direction: str) -> DataFrame:
@@ -152,8 +192,9 @@ def trace_lineage(catalog: Catalog, requests: DataFrame, direction: str) -> Data
     "Can be reached" has no depth bound: the flag is also set when a node at the asked depth has
     an edge to a node not found within it, which needs one more step, not the full closure.
     """
-    edges = directed_edges(catalog, direction)
-    reached = stage(reach_within(edges, requests), "traced")
+    steps = directed_edges(catalog, direction)
+    edges = steps.edges.select("src", "dst")
+    reached = stage(reach_within(steps, requests), "traced")
     key = ["seed", "depth"]
     onward = (
         reached.where(F.col("distance") == F.col("depth"))

@@ -73,7 +73,7 @@ FROM {reports} r JOIN (SELECT DISTINCT e.report_id, t.seed FROM {redges} e
   JOIN {treach0} t ON t.node = e.table_id) t USING (report_id) GROUP BY 1""")
 def ancestors(spark, sf):
     cat = catalog(spark, sf)
-    back = lineage.directed_edges(cat, "upstream")
+    back = lineage.directed_edges(cat, "upstream")  # also walked by trace_lineage
     reached = lineage.reach(back, cat.reports.select(F.col("report_id").alias("seed")))
     return reached.groupBy("seed").agg(
         F.count("*").alias("ancestors"), F.min("node").alias("first_id"),

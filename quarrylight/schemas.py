@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "BIGINT": T.LongType(),
+    "DATE": T.DateType(),
+}
+
+
 def _table(*columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(columns))
+    pairs = (column.split() for column in columns)
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 EMPLOYEES = _table(

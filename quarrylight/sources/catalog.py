@@ -25,6 +25,7 @@ class Catalog:
     metrics: DataFrame
     requests: DataFrame
     built: dict[str, DataFrame] = field(default_factory=dict)
+    prepared: dict[str, object] = field(default_factory=dict)
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived table, written to the staging folder the first time it is asked for."""
