@@ -37,20 +37,23 @@ def tokenize(text: Column) -> Column:
     A token is a run of letters, digits, "_", "%" and "-" without "_" and "-" at its ends.
     Compounds stay whole and are followed by their parts; stop words are dropped; no stemming.
     """
-    stop = words_array(STOP_WORDS)
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_%-]+)"), F.lit(1))
-    trimmed = F.transform(runs, lambda run: F.regexp_replace(run, r"^[_-]+|[_-]+$", ""))
+    trimmed = F.transform(runs, lambda run: F.btrim(run, F.lit("_-")))
+    none = F.array().cast("array<string>")
 
-    def expand(token: Column) -> Column:
+    def unless_stop(token: Column) -> Column:
+        return F.when((token == "") | token.isin(STOP_WORDS), none).otherwise(F.array(token))
+
+    def expand_compound(token: Column) -> Column:
         parts = F.filter(F.split(token, "[_%-]+"), lambda part: part != "")
-        whole = F.when(
-            (token == "") | ((token != "%") & (F.size(parts) == 0)) | F.array_contains(stop, token),
-            F.array().cast("array<string>"),
-        ).otherwise(F.array(token))
+        whole = F.when((token != "%") & (F.size(parts) == 0), none).otherwise(unless_stop(token))
         split_up = (F.size(parts) > 1) | ((F.size(parts) == 1) & (parts[0] != token))
-        inside = F.filter(parts, lambda part: ~F.array_contains(stop, part))
+        inside = F.filter(parts, lambda part: ~part.isin(STOP_WORDS))
         return F.when(split_up, F.concat(whole, inside)).otherwise(whole)
 
+    def expand(token: Column) -> Column:
+        return F.when(token.rlike("[_%-]"), expand_compound(token)).otherwise(unless_stop(token))
+
     return F.flatten(F.transform(trimmed, expand))
 
 

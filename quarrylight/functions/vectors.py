@@ -18,10 +18,17 @@ def dot_product(left: Column, right: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """The vector over its length; a zero vector stays zero."""
-    norm = F.sqrt(dot_product(vector, vector))
+    return _divide(vector, F.sqrt(dot_product(vector, vector)))
+
+
+def _divide(vector: Column, norm: Column) -> Column:
+    # The one-element array binds the norm once per row instead of once per component.
     return F.transform(
-        vector, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(F.lit(0.0))
-    )
+        F.array(norm),
+        lambda n: F.transform(
+            vector, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(F.lit(0.0))
+        ),
+    )[0]
 
 
 def hash_bucket(token: Column, dim: int = EMBEDDING_DIM) -> Column:
@@ -45,15 +52,14 @@ def hash_embed(texts: DataFrame, key: str, text: str, dim: int = EMBEDDING_DIM)
     sums = tokens.groupBy(key, hash_bucket(F.col("token"), dim).alias("bucket")).agg(
         F.sum(hash_sign(F.col("token"))).alias("value")
     )
+    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "value"))
     filled = sums.groupBy(key).agg(
-        F.map_from_entries(
-            F.filter(
-                F.collect_list(F.struct("bucket", "value")), lambda e: e["bucket"].isNotNull()
-            )
-        ).alias("values")
+        F.map_from_entries(F.collect_list(entry)).alias("values"),
+        F.sqrt(F.sum(F.col("value").cast("double") * F.col("value"))).alias("norm"),
     )
     places = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("values", i), F.lit(0)).cast("double"),
+        lambda i: F.coalesce(F.try_element_at("values", i), F.lit(0))
+        / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0)),
     )
-    return filled.select(key, l2_normalize(places).alias("embedding"))
+    return filled.select(key, places.alias("embedding"))

@@ -79,7 +79,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .selectExpr(
             "format_string('RPT-%04d', k) AS report_id",
-            "concat(word, ' ', lower(seg), ' view ', k div 3, ' q', k % 4 + 1) AS name",
+            "concat(word, ' ', lower(seg), ' view x', k div 3, ' y', k div 2) AS name",
             "concat(lower(seg), ' workspace') AS workspace",
             "format_string('EMP-%04d', o_custkey) AS owner_id",
             "seg AS department",

@@ -36,7 +36,7 @@ view("employees", """
 view("heads", "SELECT department, employee_id AS head_id FROM {employees} WHERE is_department_head")
 view("reports", """
   SELECT k, printf('RPT-%04d', k) AS report_id,
-    word || ' ' || lower(seg) || ' view ' || (k // 3) || ' q' || (k % 4 + 1) AS name,
+    word || ' ' || lower(seg) || ' view x' || (k // 3) || ' y' || (k // 2) AS name,
     lower(seg) || ' workspace' AS workspace, printf('EMP-%04d', o_custkey) AS owner_id,
     seg AS department,
     'Order value ' || floor(o_totalprice)::BIGINT || ' by ' || lower(seg) || '.' AS description,
@@ -264,4 +264,7 @@ def with_views(sql: str, names: list[str]) -> str:
     if not ordered:
         return sql
     ctes = ",\n".join(f"{n}_v AS MATERIALIZED ({fill(VIEWS[n])})" for n in ordered)
-    return f"WITH {ctes}\n{fill(sql)}"
+    body = fill(sql)
+    if body.lstrip().upper().startswith("WITH "):
+        body = f"SELECT * FROM ({body}) q"
+    return f"WITH {ctes}\n{body}"
