@@ -49,7 +49,7 @@ def fan_out_hot_keys(few: DataFrame, hot: DataFrame, key: str) -> DataFrame:
 
 
 def value_ranks(
-    df: DataFrame, groups: list[str], value: str, buckets: int = 256
+    df: DataFrame, groups: list[str], value: str, buckets: int = 64
 ) -> DataFrame:
     """Distinct values per group with `n`, `before` (rows below the value) and `total`.
 
