@@ -145,34 +145,47 @@ def embed_queries(queries: DataFrame) -> DataFrame:
     return queries.join(hash_embed(queries, "query_id", "text"), "query_id")
 
 
-def search(
-    queries: DataFrame, corpus: Corpus, mode: str = "hybrid", n_candidates: int = RRF_CANDIDATES,
-    signal: str = "z",
+def ranked_lists(queries: DataFrame, corpus: Corpus, partials: DataFrame, n: int) -> DataFrame:
+    """(query_id, list, doc_id, rank, score): the lexical and the dense candidates."""
+    lexical = rank_bm25(queries, corpus.index, n)
+    vectors = rank_dense(partials, n)
+    return lexical.select("query_id", F.lit("bm25").alias("list"), "doc_id", "rank", "score").union(
+        vectors.select("query_id", F.lit("dense").alias("list"), "doc_id", "rank",
+                       F.col("cosine").alias("score"))
+    )
+
+
+def search_all_modes(
+    queries: DataFrame, corpus: Corpus, n_candidates: int = RRF_CANDIDATES, signal: str = "z"
 ) -> SearchResult:
-    """queries(query_id, text, kinds, department, include_deprecated, top_k) against a corpus.
+    """Hits of all three modes with a `mode` column; candidates are found once and shared.
 
-    Filters apply before any ranking. The signal is the same in every mode.
+    queries(query_id, text, kinds, department, include_deprecated, top_k). Filters apply before
+    any ranking. The signal is the same in every mode.
     """
-    if mode not in ("hybrid", "bm25", "dense"):
-        raise ValueError(f"mode must be hybrid, bm25 or dense, not {mode!r}")
     queries = queries.where(F.trim("text") != "")
     partials = stage(dense_partials(embed_queries(queries), corpus.vectors, n_candidates), "dense")
-    lexical = rank_bm25(queries, corpus.index, n_candidates)
-    vectors = rank_dense(partials, n_candidates)
-    lists = lexical.select("query_id", F.lit("bm25").alias("list"), "doc_id", "rank", "score").union(
-        vectors.select("query_id", F.lit("dense").alias("list"), "doc_id", "rank",
-                       F.col("cosine").alias("score"))
+    lists = stage(ranked_lists(queries, corpus, partials, n_candidates), "lists")
+    fused = stage(rrf_fuse(lists), "fused")
+    single = lists.join(fused.drop("score", "rank"), ["query_id", "doc_id"]).select(
+        F.col("list").alias("mode"), "query_id", "doc_id", "rank", "score", "bm25_rank", "dense_rank"
     )
-    if mode == "hybrid":
-        ranked = rrf_fuse(lists)
-    else:
-        own = lists.where(F.col("list") == mode).select("query_id", "doc_id", "score", "rank")
-        both = rrf_fuse(lists).select("query_id", "doc_id", "bm25_rank", "dense_rank")
-        ranked = own.join(both, ["query_id", "doc_id"])
-    top = ranked.join(queries.select("query_id", "top_k"), "query_id").where(
-        F.col("rank") <= F.col("top_k")
+    both = fused.select(
+        F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rank", "score", "bm25_rank", "dense_rank"
     )
+    top = single.union(both).join(queries.select("query_id", "top_k"), "query_id")
     return SearchResult(
-        hits=top.select("query_id", "doc_id", "rank", "score", "bm25_rank", "dense_rank"),
+        hits=top.where(F.col("rank") <= F.col("top_k")).drop("top_k"),
         signal=match_signal(queries, partials, exact_matches(queries, corpus), signal),
     )
+
+
+def search(
+    queries: DataFrame, corpus: Corpus, mode: str = "hybrid", n_candidates: int = RRF_CANDIDATES,
+    signal: str = "z",
+) -> SearchResult:
+    """One mode of search_all_modes: hybrid, bm25 or dense."""
+    if mode not in ("hybrid", "bm25", "dense"):
+        raise ValueError(f"mode must be hybrid, bm25 or dense, not {mode!r}")
+    found = search_all_modes(queries, corpus, n_candidates, signal)
+    return SearchResult(found.hits.where(F.col("mode") == mode).drop("mode"), found.signal)

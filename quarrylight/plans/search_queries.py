@@ -62,14 +62,20 @@ def request_queries(spark, sf):
     )
 
 
-def results(spark, sf, which: str) -> search.SearchResult:
-    """The finished hybrid search of one corpus, run once per session."""
-    cat = catalog(spark, sf)
-    if which == "asset":
-        build = lambda: search.search(asset_queries(spark, sf), asset_corpus(spark, sf))
-    else:
-        build = lambda: search.search(request_queries(spark, sf), request_corpus(spark, sf))
-    return _prepared(cat, f"{which}_results", build)
+def all_modes(spark, sf, which: str) -> search.SearchResult:
+    """The finished search of one corpus in all modes, run once per session."""
+    queries, corpus_of = {
+        "asset": (asset_queries, asset_corpus), "request": (request_queries, request_corpus)
+    }[which]
+    return _prepared(
+        catalog(spark, sf), f"{which}_results",
+        lambda: search.search_all_modes(queries(spark, sf), corpus_of(spark, sf)),
+    )
+
+
+def results(spark, sf, which: str, mode: str = "hybrid") -> search.SearchResult:
+    found = all_modes(spark, sf, which)
+    return search.SearchResult(found.hits.where(F.col("mode") == mode).drop("mode"), found.signal)
 
 
 @query("tokenize", f"""
