@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lineage_queries", "search_queries", "run_queries", "quality_queries", "tool_queries", "gold_queries", "audit_queries", "curation_queries"]
+MODULES = ["lineage_queries", "search_queries", "run_queries", "quality_queries", "tool_queries", "gold_queries", "audit_queries", "curation_queries", "source_queries"]
 
 
 def load_all() -> None:

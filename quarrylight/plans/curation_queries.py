@@ -343,11 +343,11 @@ def allocate_targets(spark, sf):
     return curation.allocate_targets(target_pool(spark, sf), PLAN, ORDER, SEED)
 
 
-@query("dev_test_disjoint", "SELECT table_id AS target FROM {tables} WHERE layer = 'mart' AND owner_id IN"
+@query("dev_test_disjoint", "SELECT table_id AS target FROM {tables} WHERE owner_id IN"
        " (SELECT employee_id FROM {employees} WHERE status = 'left')")
 def dev_test_disjoint(spark, sf):
     pool = target_pool(spark, sf)
-    return curation.shared_targets(pool.where("category = 'L2'"), pool.where("category = 'L5'"))
+    return curation.shared_targets(pool.where("category = 'L2'"), pool.where("category = 'L1'"))
 
 
 @query("stratified_review_sample", """

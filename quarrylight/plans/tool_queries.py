@@ -35,15 +35,15 @@ def word_set(spark, sf):
     )
 
 
-# Neighbouring documents are compared: 2n with 2n + 1.
+# Every document is compared with the next one.
 view("doc_pairs", """
   SELECT a.doc_id AS a, b.doc_id AS b, a.text AS text_a, b.text AS text_b,
     string_split(a.text, chr(10))[1] AS name_a FROM documents a JOIN documents b
-    ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0""")
+    ON b.doc_id = a.doc_id + 1""")
 
 
 def doc_pairs(spark, sf):
-    left = documents(spark, sf).where("doc_id % 2 = 0").selectExpr(
+    left = documents(spark, sf).selectExpr(
         "doc_id AS a", "doc_id + 1 AS b", "text AS text_a", "split(text, '\\n')[0] AS name_a"
     )
     right = documents(spark, sf).selectExpr("doc_id AS b", "text AS text_b")
@@ -119,7 +119,7 @@ def dedupe_ordered(spark, sf):
 
 
 @query("redact_unverified", """
-SELECT event_id, replace(text, rpt, '[unverified]') AS text FROM {id_texts}""")
+SELECT event_id, regexp_replace(text, '\\b' || rpt || '\\b', '[unverified]', 'g') AS text FROM {id_texts}""")
 def redact_unverified(spark, sf):
     return id_texts(spark, sf).select("event_id", text.redact(F.col("text"), F.array("rpt")).alias("text"))
 

@@ -81,8 +81,13 @@ def write_catalog(catalog: Catalog, directory: str) -> None:
     for name, schema in CATALOG.items():
         keys = schema.fieldNames()[:2] if name.endswith("_edges") else schema.fieldNames()[:1]
         out = export_strings(getattr(catalog, name), name).orderBy(*keys)
-        out.write.option("header", True).option("emptyValue", "").option("escape", '"').csv(
-            f"{directory}/{name}.csv"
+        (
+            out.write.option("header", True)
+            .option("emptyValue", "")
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{directory}/{name}.csv")
         )
 
 
