@@ -23,20 +23,28 @@ _PARTIAL = (
 )
 
 
-def _allowed(docs: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
-    """docs x queries: does the document pass the query's filters?"""
-    mask = np.ones((len(docs), len(queries)), dtype=bool)
-    deprecated = (docs["status"] == "deprecated").to_numpy()
-    for j, query in enumerate(queries.itertuples()):
-        if query.kinds is not None:
-            mask[:, j] &= docs["kind"].isin(list(query.kinds)).to_numpy()
-        if query.department is not None:
-            mask[:, j] &= (docs["department"] == query.department).to_numpy()
-        if not query.include_deprecated:
-            mask[:, j] &= ~deprecated
+def _allowed(docs: pd.DataFrame, query: tuple) -> np.ndarray:
+    """Which documents pass a filter (kinds, department, include_deprecated)?"""
+    kinds, department, include_deprecated = query
+    mask = np.ones(len(docs), dtype=bool)
+    if kinds is not None:
+        mask &= docs["kind"].isin(kinds).to_numpy()
+    if department is not None:
+        mask &= (docs["department"] == department).to_numpy()
+    if not include_deprecated:
+        mask &= (docs["status"] != "deprecated").to_numpy()
     return mask
 
 
+def _filters(queries: pd.DataFrame) -> list[tuple]:
+    return [
+        (None if k is None else tuple(k), d, bool(i))
+        for k, d, i in zip(
+            queries["kinds"], queries["department"], queries["include_deprecated"], strict=True
+        )
+    ]
+
+
 def _best(ids: np.ndarray, cosines: np.ndarray, n: int) -> np.ndarray:
     """Positions of the best n by (cosine desc, id)."""
     if len(ids) > n:
@@ -56,24 +64,34 @@ def _block(
     left = np.stack(docs["embedding"].to_numpy()).astype(np.float64)
     right = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
     cosines = np.round(left @ right.T, DIGITS)
-    mask = _allowed(docs, queries)
     ids = docs["doc_id"].to_numpy().astype(str)
+    filters = _filters(queries)
+    # Queries with the same filter share its mask.
+    masks = {one: _allowed(docs, one) for one in set(filters)}
+    found: dict[str, list] = {"query_id": [], "doc_id": [], "cosine": []}
+    moments: dict[str, list] = {"query_id": [], "n": [], "total": [], "squares": []}
     for j, query_id in enumerate(queries["query_id"]):
-        keep = mask[:, j]
+        keep = masks[filters[j]]
         if skip_self:
             keep = keep & (ids != query_id)
         mine, my_ids = cosines[keep, j], ids[keep]
         if not len(mine):
             continue
         best = _best(my_ids, mine, n)
-        yield pd.DataFrame(
-            {"query_id": query_id, "doc_id": my_ids[best], "cosine": mine[best],
-             "n": pd.NA, "total": np.nan, "squares": np.nan}
-        ).astype({"n": "Int64"})
-        yield pd.DataFrame(
-            {"query_id": [query_id], "doc_id": [None], "cosine": [np.nan], "n": [len(mine)],
-             "total": [mine.sum()], "squares": [np.square(mine).sum()]}
-        ).astype({"n": "Int64"})
+        found["query_id"].append(np.full(len(best), query_id, dtype=object))
+        found["doc_id"].append(my_ids[best].astype(object))
+        found["cosine"].append(mine[best])
+        moments["query_id"].append(query_id)
+        moments["n"].append(len(mine))
+        moments["total"].append(mine.sum())
+        moments["squares"].append(np.square(mine).sum())
+    if not moments["query_id"]:
+        return
+    hits = pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
+    hits = hits.assign(n=pd.array([pd.NA] * len(hits), dtype="Int64"), total=np.nan, squares=np.nan)
+    yield hits
+    sums = pd.DataFrame(moments).assign(doc_id=None, cosine=np.nan).astype({"n": "Int64"})
+    yield sums[["query_id", "doc_id", "cosine", "n", "total", "squares"]]
 
 
 def dense_partials(

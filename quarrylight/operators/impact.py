@@ -86,18 +86,23 @@ def notified(catalog: Catalog) -> DataFrame:
 
 
 def impact_contacts(catalog: Catalog) -> DataFrame:
-    """One row per (table, person): counts, affected usage, and whether a fallback was used."""
-    return (
-        notified(catalog)
-        .groupBy("table_id", F.col("notify_id").alias("employee_id"))
-        .agg(
-            F.count_if(F.col("type") == "report").alias("report_count"),
-            F.count_if(F.col("type") == "metric").alias("metric_count"),
-            F.sum("usage_30d").alias("total_usage_30d"),
-            F.bool_or(~F.col("owner_resolved")).alias("via_fallback"),
-            F.sum(F.length("asset_id") + 2).alias("id_chars"),
+    """One row per (table, person): counts, affected usage, whether a fallback was used, and how
+    many characters the person's IDs take in an answer. Written once per session."""
+
+    def build() -> DataFrame:
+        return (
+            notified(catalog)
+            .groupBy("table_id", F.col("notify_id").alias("employee_id"))
+            .agg(
+                F.count_if(F.col("type") == "report").alias("report_count"),
+                F.count_if(F.col("type") == "metric").alias("metric_count"),
+                F.sum("usage_30d").alias("total_usage_30d"),
+                F.bool_or(~F.col("owner_resolved")).alias("via_fallback"),
+                F.sum(F.length("asset_id") + 2).alias("id_chars"),
+            )
         )
-    )
+
+    return catalog.once("impact_contacts", build)
 
 
 def notify_ranked(catalog: Catalog, limit: int | None = None) -> DataFrame:

@@ -96,13 +96,19 @@ def flip_rate(lines: DataFrame) -> DataFrame:
     ).withColumn("category", F.coalesce("category", F.lit("Overall")))
 
 
-def poisson_weight(uniform: Column) -> Column:
-    """A Poisson(1) draw from a uniform number in [0, 1)."""
+DRAWS_PER_HASH = 4
+
+
+def poisson_weight(draw: Column) -> Column:
+    """A Poisson(1) draw from eight hex digits: how many of the distribution's steps they reach.
+
+    Equally long hex strings compare like the numbers they write.
+    """
     weight, below = F.lit(0), 0.0
     term = 0.36787944117144233  # exp(-1)
     for k in range(1, 10):
         below += term
-        weight = weight + F.when(uniform >= below, 1).otherwise(0)
+        weight = weight + (draw >= F.lit(f"{int(below * 2**32):08x}")).cast("int")
         term = term / k
     return weight
 
@@ -114,22 +120,30 @@ def bootstrap_ci(
 
     Every resample draws each question Poisson(1) times, the limit of drawing n of n with
     replacement. The draw is a hash of (resample, question), so it needs no index, no join and no
-    generator, and partial sums leave each task as one row per resample. The interval bounds are
-    the 25th and the 974th of 1000 sorted means, counted from 0.
+    generator; one hash serves four resamples, and partial sums leave each task as one row per
+    four resamples. The interval bounds are the 25th and the 974th of 1000 sorted means, counted
+    from 0.
     """
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("item_id"))
-    uniform = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    draws = means.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn(
-        "weight", poisson_weight(uniform)
-    )
-    resampled = draws.groupBy(*by, "b").agg(
-        ratio(F.sum(F.col("weight") * F.col("mean")), F.sum("weight")).alias("value")
-    )
+    spark = means.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("g").cast("string"), F.col("item_id")))
+    # A few questions grow a thousandfold here, so they are dealt out to all tasks first.
+    hashed = means.repartition(tasks, *by, "item_id").withColumn(
+        "g", F.explode(F.sequence(F.lit(0), F.lit(samples // DRAWS_PER_HASH - 1)))
+    ).withColumn("hash", key)
+    sums = []
+    for part in range(DRAWS_PER_HASH):
+        weight = poisson_weight(F.substring("hash", 1 + 8 * part, 8))
+        sums.append(F.sum(weight * F.col("mean")).alias(f"w{part}"))
+        sums.append(F.sum(weight).alias(f"n{part}"))
+    drawn = hashed.groupBy(*by, "g").agg(*sums)
+    values = F.array(*[ratio(F.col(f"w{p}"), F.col(f"n{p}")) for p in range(DRAWS_PER_HASH)])
+    resampled = drawn.select(*by, F.explode(values).alias("value"))
     ordered = F.array_sort(F.collect_list("value"))
     return resampled.groupBy(*by).agg(ordered.alias("v")).select(
         *by,
-        F.element_at("v", int(0.025 * samples) + 1).alias("low"),
-        F.element_at("v", int(0.975 * samples)).alias("high"),
+        F.try_element_at("v", F.lit(int(0.025 * samples) + 1)).alias("low"),
+        F.try_element_at("v", F.lit(int(0.975 * samples))).alias("high"),
     )
 
 

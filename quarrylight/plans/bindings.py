@@ -10,11 +10,23 @@ from quarrylight.sources.catalog import Catalog
 # The five departments, in the order reports are dealt to them.
 DEPARTMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
+# A table smaller than this is not worth dealing out.
+SPREAD_BYTES = 500_000
+
 _CATALOGS: dict[tuple[str, str], Catalog] = {}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes as fewer splits than there are cores is dealt out to all of them.
+
+    Large tables have more splits than the cluster has cores and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    if size > SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def row_count(df: DataFrame):

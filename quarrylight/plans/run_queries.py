@@ -407,14 +407,14 @@ def missing_id_types(spark, sf):
     return runs.missing_id_types(lines(spark, sf), items(spark, sf), ["config"])
 
 
-_U = "('0x' || substr(md5('0:' || b || ':' || item_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_U = "('0x' || substr(md5('0:' || (b // 4) || ':' || item_id), 1 + 8 * (b % 4), 8))::BIGINT"
 
 
 def _poisson_sql() -> str:
     below, term, parts = 0.0, 0.36787944117144233, []
     for k in range(1, 10):
         below += term
-        parts.append(f"(u >= {below!r}::DOUBLE)::INT")
+        parts.append(f"(u >= {int(below * 2**32)})::INT")
         term = term / k
     return " + ".join(parts)
 
@@ -423,7 +423,7 @@ view("ci", f"""
   SELECT config, list_sort(list(value))[26] AS low, list_sort(list(value))[975] AS high FROM (
     SELECT config, b, sum(w * mean) / sum(w) AS value FROM (
       SELECT config, b, mean, {_poisson_sql()} AS w FROM (
-        SELECT config, mean, b, {_U} AS u FROM {{qmeans}}, (SELECT unnest(range(1, 1001)) AS b) r) y) z
+        SELECT config, mean, b, {_U} AS u FROM {{qmeans}}, (SELECT unnest(range(0, 1000)) AS b) r) y) z
     GROUP BY ALL) x GROUP BY 1""".replace("{{", "{").replace("}}", "}"))
 
 
@@ -455,7 +455,7 @@ view("cell_ci", f"""
     SELECT config, category, b, sum(w * mean) / nullif(sum(w), 0) AS value FROM (
       SELECT config, category, b, mean, {_poisson_sql()} AS w FROM (
         SELECT config, category, mean, b, {_U} AS u FROM {{qmeans}},
-          (SELECT unnest(range(1, 1001)) AS b) r) y) z
+          (SELECT unnest(range(0, 1000)) AS b) r) y) z
     GROUP BY ALL HAVING sum(w) > 0) x GROUP BY ALL""".replace("{{", "{").replace("}}", "}"))
 
 
