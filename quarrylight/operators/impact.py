@@ -105,11 +105,14 @@ def impact_contacts(catalog: Catalog) -> DataFrame:
     return catalog.once("impact_contacts", build)
 
 
-def notify_ranked(catalog: Catalog, limit: int | None = None) -> DataFrame:
-    """People per table by affected usage (desc), then ID; all of them or the first `limit`."""
+def notify_ranked(catalog: Catalog, limit: int = NOTIFY_DETAIL_MAX) -> DataFrame:
+    """The first people per table by affected usage (desc), then ID.
+
+    An answer never lists more than twenty; impact_contacts holds everybody, unranked.
+    """
     order = Window.partitionBy("table_id").orderBy(F.desc("total_usage_30d"), "employee_id")
     ranked = impact_contacts(catalog).withColumn("rank", F.row_number().over(order))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return ranked.where(F.col("rank") <= limit)
 
 
 def notify_modes(catalog: Catalog) -> DataFrame:
@@ -125,7 +128,7 @@ def notify_modes(catalog: Catalog) -> DataFrame:
 
 def notify_list(catalog: Catalog) -> DataFrame:
     """The people an answer lists: everyone in individual mode, the top ten in broadcast mode."""
-    top = notify_ranked(catalog, NOTIFY_DETAIL_MAX)
+    top = notify_ranked(catalog)
     shown = top.join(notify_modes(catalog), "table_id").where(
         (F.col("notify_mode") == "individual") | (F.col("rank") <= NOTIFY_BROADCAST_TOP)
     )

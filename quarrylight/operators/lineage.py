@@ -218,17 +218,20 @@ def trace_lineage(catalog: Catalog, requests: DataFrame, direction: str) -> Data
 
 
 def cyclic_part(edges: DataFrame) -> DataFrame:
-    """Edges left after repeatedly removing nodes nothing points to; empty for a DAG.
+    """Edges left after repeatedly removing nodes without parents or without children; empty for
+    a DAG.
 
-    Each round joins the edges with the nodes that still have a parent; rounds are bounded by
-    the longest path and every round's remainder is written once.
+    Each round keeps the edges that go on at both ends, so all edges to reports and metrics are
+    gone after the first one; rounds are bounded by half the longest path and every round's
+    remainder is written once.
     """
     left = stage(edges.select("src", "dst").distinct(), "peel")
     size = left.count()
     while size:
+        parents = left.select(F.col("dst").alias("src")).distinct()
+        children = left.select(F.col("src").alias("dst")).distinct()
         remaining = stage(
-            left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"),
-            "peel",
+            left.join(parents, "src", "left_semi").join(children, "dst", "left_semi"), "peel"
         )
         smaller = remaining.count()
         if smaller == size:

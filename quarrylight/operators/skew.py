@@ -118,27 +118,3 @@ def quantiles(
         share = F.max(place - F.floor(place))
         columns.append((low + share * (high - low)).alias(name))
     return ranks.groupBy(*groups).agg(*columns)
-
-
-def dense_index(
-    df: DataFrame, groups: list[str], key: str, n_buckets: int = 256
-) -> DataFrame:
-    """df with `index`, 0..n-1 per group in an order fixed by the hash of the key.
-
-    Rows are numbered inside hash buckets; only bucket sizes are summed across a group.
-    """
-    placed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n_buckets)))
-    sizes = placed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sizes.select(
-        *groups, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(key)
-    numbered = placed.withColumn("_number", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(starts, [*groups, "_bucket"])
-        .withColumn("index", F.col("_start") + F.col("_number"))
-        .drop("_bucket", "_number", "_start")
-    )

@@ -210,13 +210,11 @@ def asset_department(spark, sf):
 
 
 @query("tables_of_report", """
-SELECT report_id, string_agg(table_id, ',' ORDER BY table_id) AS table_ids
-FROM {redges} GROUP BY 1""")
+SELECT r.report_id, r.name, e.table_id FROM {reports} r JOIN {redges} e USING (report_id)""")
 def tables_of_report(spark, sf):
-    links = catalog(spark, sf).report_table_edges
-    return links.groupBy("report_id").agg(
-        F.array_join(F.array_sort(F.collect_set("table_id")), ",").alias("table_ids")
-    )
+    # Rows, not lists: a report may read any number of tables.
+    cat = catalog(spark, sf)
+    return cat.reports.select("report_id", "name").join(cat.report_table_edges.distinct(), "report_id")
 
 
 @query("resolve_owner", """
@@ -272,7 +270,8 @@ def impact_contacts(spark, sf):
 
 
 @query("notify_ranked", """
-SELECT table_id, employee_id, total_usage_30d, rank::BIGINT AS rank FROM {inotify_ranked}""")
+SELECT table_id, employee_id, total_usage_30d, rank::BIGINT AS rank FROM {inotify_ranked}
+WHERE rank <= 20""")
 def notify_ranked(spark, sf):
     return impact.notify_ranked(catalog(spark, sf)).select(
         "table_id", "employee_id", "total_usage_30d", F.col("rank").cast("bigint")

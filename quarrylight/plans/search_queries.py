@@ -167,10 +167,10 @@ def bm25_index(spark, sf):
     )
 
 
-@query("bm25_score", "SELECT query_id, doc_id, round(score, 6) AS score FROM {rr_bm25}")
+@query("bm25_score", "SELECT query_id, doc_id, score FROM {rr_bm25}")
 def bm25_score(spark, sf):
     found = bm25.bm25_scores(request_queries(spark, sf), request_corpus(spark, sf).index)
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return found.select("query_id", "doc_id", "score")
 
 
 @query("bm25_match", "SELECT query_id, count(*)::BIGINT AS documents FROM {ra_bm25} GROUP BY 1")
@@ -180,19 +180,14 @@ def bm25_match(spark, sf):
 
 
 @query("rank_bm25", """
-SELECT query_id, doc_id, round(score, 6) AS score, rank::BIGINT AS rank FROM {ra_rank_bm25}""")
+SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM {ra_rank_bm25}""")
 def rank_bm25(spark, sf):
     ranked = bm25.rank_bm25(asset_queries(spark, sf), asset_corpus(spark, sf).index)
     return ranked.select(
-        "query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint")
+        "query_id", "doc_id", "score", F.col("rank").cast("bigint")
     )
 
 
-_EMB = """
-SELECT {key}, string_agg(bucket || ':' || printf('%.6f', v), ' ' ORDER BY bucket) AS vector
-FROM {{{view}}} GROUP BY 1"""
-
-
 @query("hash_embed", """
 SELECT doc_id, count(*)::BIGINT AS nonzero, round(sum(v * (bucket + 1)), 6) AS weighted_sum
 FROM {rr_emb} GROUP BY 1""")
@@ -211,10 +206,10 @@ def _partials(spark, sf):
 
 
 @query("rank_dense", """
-SELECT query_id, doc_id, round(cosine, 6) AS cosine, rank::BIGINT AS rank FROM {ra_rank_dense}""")
+SELECT query_id, doc_id, cosine, rank::BIGINT AS rank FROM {ra_rank_dense}""")
 def rank_dense(spark, sf):
     return dense.rank_dense(_partials(spark, sf)).select(
-        "query_id", "doc_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint")
+        "query_id", "doc_id", "cosine", F.col("rank").cast("bigint")
     )
 
 
@@ -245,12 +240,12 @@ search_views.view("vrank", """
 
 
 @query("dense_search", """
-SELECT query_id, doc_id, round(cosine, 6) AS cosine, rank::BIGINT AS rank FROM {vrank}""")
+SELECT query_id, doc_id, cosine, rank::BIGINT AS rank FROM {vrank}""")
 def dense_search(spark, sf):
     queries, vectors = vector_corpus(spark, sf)
     found = dense.rank_dense(dense.dense_partials(queries, vectors, skip_self=True))
     return found.select(
-        "query_id", "doc_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint")
+        "query_id", "doc_id", "cosine", F.col("rank").cast("bigint")
     )
 
 
@@ -283,12 +278,10 @@ def exact_match_signal(spark, sf):
 
 
 @query("match_signal", """
-SELECT query_id, exact_match, round(top_cosine, 6) AS top_cosine, round(dense_z, 6) AS dense_z,
+SELECT query_id, exact_match, top_cosine, round(dense_z, 6) AS dense_z,
   match_quality FROM {ra_signal}""")
 def match_signal(spark, sf):
-    return results(spark, sf, "asset").signal.withColumns(
-        {"top_cosine": F.round("top_cosine", 6), "dense_z": F.round("dense_z", 6)}
-    )
+    return results(spark, sf, "asset").signal.withColumn("dense_z", F.round("dense_z", 6))
 
 
 _HITS = """

@@ -121,7 +121,7 @@ def failure_stops(answers: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def failure_stops_batch(answers: DataFrame, slot: str = "DAY") -> DataFrame:
+def failure_stops_batch(answers: DataFrame, slot: str = "HOUR") -> DataFrame:
     """The same stops from a finished log.
 
     The log is cut into slots of time; failures in a row are counted inside a slot, and a slot
