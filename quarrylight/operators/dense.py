@@ -63,7 +63,7 @@ def _block(
         return
     left = np.stack(docs["embedding"].to_numpy()).astype(np.float64)
     right = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-    cosines = np.round(left @ right.T, DIGITS)
+    cosines = np.round(left @ right.T, DIGITS) + 0.0  # no negative zeros
     ids = docs["doc_id"].to_numpy().astype(str)
     filters = _filters(queries)
     # Queries with the same filter share its mask.

@@ -509,8 +509,8 @@ def leakage_stats(spark, sf):
 @query("before_after", """
 SELECT mode, type, round(b.recall_1, 6) AS recall_1_before, round(b.recall_5, 6) AS recall_5_before,
   round(b.mrr, 6) AS mrr_before, round(a.recall_1, 6) AS recall_1_after, round(a.recall_5, 6) AS recall_5_after,
-  round(a.mrr, 6) AS mrr_after, round(a.recall_1 - b.recall_1, 6) AS recall_1_change,
-  round(a.recall_5 - b.recall_5, 6) AS recall_5_change, round(a.mrr - b.mrr, 6) AS mrr_change
+  round(a.mrr, 6) AS mrr_after, round(a.recall_1 - b.recall_1, 6) + 0.0::DOUBLE AS recall_1_change,
+  round(a.recall_5 - b.recall_5, 6) + 0.0::DOUBLE AS recall_5_change, round(a.mrr - b.mrr, 6) + 0.0::DOUBLE AS mrr_change
 FROM {bench_summary} a FULL JOIN (
   SELECT mode, coalesce(type, 'all') AS type, avg(coalesce(other_rank <= 1, false)::INT) AS recall_1,
     avg(coalesce(other_rank <= 5, false)::INT) AS recall_5, avg(coalesce(1.0 / other_rank, 0)) AS mrr

@@ -442,7 +442,7 @@ view("marks", """
   FROM {grid}, {fullspread} WHERE category = 'Overall' AND config <> 'A0'""")
 
 
-@query("effect_marks", "SELECT config, round(accuracy, 6) AS accuracy, round(difference, 6) AS difference,"
+@query("effect_marks", "SELECT config, round(accuracy, 6) AS accuracy, round(difference, 6) + 0.0::DOUBLE AS difference,"
        " mark FROM {marks}")
 def effect_marks(spark, sf):
     return runs.effect_marks(lines(spark, sf)).select(
@@ -480,7 +480,7 @@ _REST = ["delta", "precision", "recall", "false_rate", "fabricated_rate", "tools
 
 
 @query("ablation_table", "SELECT g.config, " + ", ".join(
-    f"round(g.{c}, 6) AS {c}" for c in _TABLE) + """, round(g.Overall - f.mean, 6) AS delta,
+    f"round(g.{c}, 6) AS {c}" for c in _TABLE) + """, round(g.Overall - f.mean, 6) + 0.0::DOUBLE AS delta,
   round(precision, 6) AS precision, round(recall, 6) AS recall, round(false_rate, 6) AS false_rate,
   round(fabricated_rate, 6) AS fabricated_rate, round(tools_per_q, 6) AS tools_per_q,
   round(tokens_per_q, 6) AS tokens_per_q, p95_ms::DOUBLE AS p95_ms
@@ -494,7 +494,7 @@ def ablation_table(spark, sf):
 
 
 @query("ablation_reading", """
-SELECT config, round(accuracy, 6) AS accuracy, round(difference, 6) AS difference, mark,
+SELECT config, round(accuracy, 6) AS accuracy, round(difference, 6) + 0.0::DOUBLE AS difference, mark,
   w.category AS noisiest_category, round(w.flip_rate, 6) AS noisiest_flip_rate,
   coalesce(std = 0, false) AS zero_noise, difference > 0 AS beats_full
 FROM {marks}, (SELECT category, avg(flipped::INT) AS flip_rate FROM {flips} WHERE config = 'A0'

@@ -189,7 +189,7 @@ def rank_bm25(spark, sf):
 
 
 @query("hash_embed", """
-SELECT doc_id, count(*)::BIGINT AS nonzero, round(sum(v * (bucket + 1)), 6) AS weighted_sum
+SELECT doc_id, count(*)::BIGINT AS nonzero, round(sum(v * (bucket + 1)), 6) + 0.0::DOUBLE AS weighted_sum
 FROM {rr_emb} GROUP BY 1""")
 def hash_embedding(spark, sf):
     vectors = hash_embed(request_corpus(spark, sf).docs, "doc_id", "dense_text")
@@ -231,7 +231,7 @@ _VECTORS = """
   SELECT printf('VEC-%05d', vec_id) AS doc_id, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"""
 search_views.view("vectors", _VECTORS)
 search_views.view("vcos", """
-  SELECT q.doc_id AS query_id, d.doc_id, round(list_dot_product(q.e, d.e), 9) AS cosine
+  SELECT q.doc_id AS query_id, d.doc_id, round(list_dot_product(q.e, d.e), 9) + 0.0::DOUBLE AS cosine
   FROM {vectors} q JOIN {vectors} d ON q.doc_id <> d.doc_id
     AND (q.vec_id % 2 = 1 OR q.label = d.label)""")
 search_views.view("vrank", """

@@ -133,7 +133,7 @@ def search_views(p: str, docs: str, queries: str) -> None:
             FROM (SELECT {key}, unnest({tokens_sql(text)}) AS token FROM {{{source}}}) x GROUP BY ALL) y
           WHERE v <> 0""")
     view(f"{p}_cos", f"""
-      SELECT q.query_id, d.doc_id, round(coalesce(c.cosine, 0), 9) AS cosine
+      SELECT q.query_id, d.doc_id, round(coalesce(c.cosine, 0), 9) + 0.0::DOUBLE AS cosine
       FROM {{{queries}}} q JOIN {{{docs}}} d ON {ok}
       LEFT JOIN (SELECT query_id, doc_id, sum(a.v * b.v) AS cosine FROM {{{p}_qemb}} a
         JOIN {{{p}_emb}} b USING (bucket) GROUP BY ALL) c

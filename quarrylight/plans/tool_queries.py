@@ -270,7 +270,7 @@ def pacific_day(spark, sf):
 
 
 @query("l2_normalize", """
-SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / n)), 6) AS component_sum,
+SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / n)), 6) + 0.0::DOUBLE AS component_sum,
   round(list_sum(list_transform(e, lambda x: (x / n) * (x / n))), 6) AS squared_length
 FROM (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings) x) y""")
@@ -287,7 +287,7 @@ def l2_normalize(spark, sf):
 
 
 @query("dot_product", """
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0::DOUBLE AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def dot_product(spark, sf):
     left = source(spark, sf, "embeddings").selectExpr("vec_id AS a", "vec_id + 1 AS b", "embedding AS ea")
@@ -305,7 +305,7 @@ _WORD_BUCKETS = f"""
 
 
 @query("embed_texts", f"""
-SELECT item_id, count(*)::BIGINT AS nonzero, round(sum(v * (bucket + 1)) / sqrt(sum(v * v)), 6) AS weighted_sum
+SELECT item_id, count(*)::BIGINT AS nonzero, round(sum(v * (bucket + 1)) / sqrt(sum(v * v)), 6) + 0.0::DOUBLE AS weighted_sum
 FROM ({_WORD_BUCKETS.replace('{k}', 'item_id').replace('{t}', 'benchmark')}) y GROUP BY 1""")
 def embedded(spark, sf):
     found = embed_texts(source(spark, sf, "benchmark"), "item_id", "text", word_hash_encoder, 64)
