@@ -65,7 +65,9 @@ def affected(catalog: Catalog) -> DataFrame:
             seeds.join(salted, ["node", "salt"])
             .drop("node", "salt")
             .withColumnRenamed("seed", "table_id")
-            .dropDuplicates(["table_id", "asset_id"])
+            # The asset decides all other columns, so whole rows can be compared: a hash
+            # aggregate without values, where dropping duplicates by key would sort.
+            .distinct()
         )
 
     return catalog.once("affected", build)

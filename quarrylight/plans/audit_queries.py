@@ -10,7 +10,7 @@ from quarrylight.plans.oracle_views import view
 from quarrylight.plans.registry import query
 from quarrylight.plans.run_bindings import answers, items, lines
 from quarrylight.plans.run_queries import plan, quota, r6
-from quarrylight.plans.tool_queries import markdown_pages, secret_sql
+from quarrylight.plans.tool_queries import markdown_pages, noted_texts, secret_sql
 
 TERMS = ["enan", "que la"]
 
@@ -153,9 +153,15 @@ view("doc_lines", """
     FROM documents) x""")
 
 
-@query("secret_scan", f"SELECT doc_id, line::BIGINT AS line, unnest({secret_sql('line_text')}) AS kind FROM {{doc_lines}}")
+view("noted_lines", """
+  SELECT doc_id, i + 1 AS line, t[i + 1] AS line_text FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS t, unnest(range(len(string_split(text, chr(10))))) AS i
+    FROM {noted}) x""")
+
+
+@query("secret_scan", f"SELECT doc_id, line::BIGINT AS line, unnest({secret_sql('line_text')}) AS kind FROM {{noted_lines}}")
 def secret_scan(spark, sf):
-    found = audit.secret_scan(source(spark, sf, "documents"), "doc_id", "text")
+    found = audit.secret_scan(noted_texts(spark, sf), "doc_id", "text")
     return found.withColumn("line", F.col("line").cast("bigint"))
 
 
@@ -175,9 +181,9 @@ _HITS = ("list_concat(list_filter([" + ", ".join(
 @query("version_scan", f"""
 SELECT path, version, holders, unnest({_HITS}) AS hit FROM (
   SELECT text, arg_min(source, doc_id) AS path, min(doc_id) AS version, count(*)::BIGINT AS holders
-  FROM documents GROUP BY text) x""")
+  FROM {{noted}} GROUP BY text) x""")
 def version_scan(spark, sf):
-    versions = source(spark, sf, "documents").selectExpr("source AS path", "doc_id AS version", "text")
+    versions = noted_texts(spark, sf).selectExpr("source AS path", "doc_id AS version", "text")
     return audit.version_scan(versions, TERMS)
 
 

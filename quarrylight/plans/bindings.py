@@ -198,7 +198,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             "*",
             "element_at(array('done', 'done', 'done', 'done', 'done', 'duplicate', 'open',"
             " 'rejected', 'in_progress', 'done'), cast(k % 10 + 1 as int)) AS status",
-            "date_add(DATE'2020-01-01', cast(k % 1000 as int)) AS created_date",
+            "date_add(DATE'2020-01-01', cast(k % 700 as int)) AS created_date",
         )
         .selectExpr(
             "format_string('REQ-%04d', k) AS request_id",

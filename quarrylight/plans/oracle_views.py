@@ -95,9 +95,9 @@ view("requests", """
     string_split(text, chr(10))[1] AS title, text AS description,
     printf('EMP-%04d', doc_id * 3 % np) AS requester_id,
     printf('EMP-%04d', (doc_id * 7 + 1) % np) AS assignee_id, lang AS department,
-    DATE '2020-01-01' + (doc_id % 1000)::INT AS created_date,
+    DATE '2020-01-01' + (doc_id % 700)::INT AS created_date,
     CASE WHEN status IN ('done', 'duplicate')
-      THEN DATE '2020-01-01' + (doc_id % 1000 + n_chars % 90)::INT END AS closed_date,
+      THEN DATE '2020-01-01' + (doc_id % 700 + n_chars % 90)::INT END AS closed_date,
     status,
     CASE WHEN status = 'done' AND doc_id % 4 <> 0 THEN printf('RPT-%04d', doc_id * 5 % nr) END
       AS resulting_report_id,

@@ -149,9 +149,17 @@ def secret_sql(column: str) -> str:
     return SECRET_SQL.replace("{t}", column)
 
 
-@query("secret_kind", f"SELECT doc_id, array_to_string({secret_sql('text')}, ',') AS kinds FROM documents")
+def noted_texts(spark, sf):
+    """The documents with the tokens they hold written as key assignments."""
+    return documents(spark, sf).withColumn("text", F.replace("text", F.lit("token ="), F.lit("API_KEY =")))
+
+
+view("noted", "SELECT * REPLACE (replace(text, 'token =', 'API_KEY =') AS text) FROM documents")
+
+
+@query("secret_kind", f"SELECT doc_id, array_to_string({secret_sql('text')}, ',') AS kinds FROM {{noted}}")
 def secret_kind(spark, sf):
-    return documents(spark, sf).select(
+    return noted_texts(spark, sf).select(
         "doc_id", F.array_join(scalars.secret_kinds(F.col("text")), ",").alias("kinds")
     )
 
