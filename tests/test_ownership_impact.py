@@ -1,10 +1,13 @@
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import table_id
 from quarrylight.operators import gold, impact, ownership
 from quarrylight.operators.limits import fit_to_limit
+from quarrylight.operators.scoring import score_columns
 
 WALKS = {
     "EMP-004": ("active_owner", 0, "EMP-004"), "EMP-008": ("resolved_via_chain", 1, "EMP-004"),
@@ -25,11 +28,9 @@ def test_walks(mini):
 
 
 def test_dangling_pointer_is_an_internal_error(spark, mini):
-    from dataclasses import replace
-
     broken = mini.employees.withColumn(
-        "successor_id", __import__("pyspark.sql.functions", fromlist=["x"]).expr(
-            "CASE WHEN employee_id = 'EMP-008' THEN 'EMP-999' ELSE successor_id END")
+        "successor_id",
+        F.expr("CASE WHEN employee_id = 'EMP-008' THEN 'EMP-999' ELSE successor_id END"),
     )
     catalog = replace(mini, employees=broken, built={}, prepared={})
     asked = spark.createDataFrame(
@@ -131,10 +132,6 @@ def test_fit_to_limit_matches_trimming(spark):
     ("abstain", ["EMP-001"], [], True, False), ("contains_all", ["a"], ["a"], True, False),
 ])
 def test_both_scorers_agree(spark, rule, given, gold_ids, abstained, expected):
-    from pyspark.sql import functions as F
-
-    from quarrylight.operators.scoring import score_columns
-
     row = spark.createDataFrame([(rule, given, gold_ids, [], abstained)],
                                 "r string, g array<string>, w array<string>, f array<string>, a boolean")
     cols = score_columns(*[F.col(c) for c in ("r", "g", "w", "f", "a")])

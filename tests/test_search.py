@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quarrylight.operators import bench, dense, search
 from quarrylight.operators.bm25 import bm25_scores, build_index, rank_bm25
@@ -173,4 +172,3 @@ def test_search_plan_has_no_pairwise_join(spark, corpus):
 def test_names_are_matched_on_word_borders(spark, corpus):
     hit = search.name_in_query(ask(spark, "the dealer margin older"), corpus.names)
     assert {r["doc_id"] for r in hit.collect()} == {"RPT-0001"}
-    assert F is not None
