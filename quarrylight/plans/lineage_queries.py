@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import impact, lineage, ownership
 from quarrylight.plans.bindings import catalog
 from quarrylight.plans.registry import query
-from quarrylight.sources.catalog import assets, metric_sources
+from quarrylight.sources.catalog import assets
 
 
 def _number(column: str):

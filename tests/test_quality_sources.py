@@ -1,3 +1,4 @@
+import uuid
 from dataclasses import replace
 
 import pytest
@@ -44,7 +45,7 @@ def test_tree_and_heads(mini):
 
 
 def test_csv_round_trip(spark, mini):
-    path = f"{staging_dir(spark)}/round-trip"
+    path = f"{staging_dir(spark)}/round-trip-{uuid.uuid4().hex}"
     catalogs.write_catalog(mini, path)
     back = catalogs.read_catalog(spark, path)
     for name in schemas.CATALOG:
@@ -68,7 +69,7 @@ def test_rows_are_validated(spark, mini):
 
 
 def test_answers_are_appended_once(spark):
-    path = f"{staging_dir(spark)}/answers-test"
+    path = f"{staging_dir(spark)}/answers-test-{uuid.uuid4().hex}"
     rows = [("A0", 1, "i1", 5, "m"), ("A0", 1, "i1", 3, "m"), ("A0", 1, "i2", 4, "m")]
     schema = "config string, repeat int, item_id string, event_id long, model string"
     first = spark.createDataFrame(rows, schema)
@@ -84,7 +85,7 @@ def test_answers_are_appended_once(spark):
 
 
 def test_store_encodes_only_new_texts(spark):
-    path = f"{staging_dir(spark)}/vectors-test"
+    path = f"{staging_dir(spark)}/vectors-test-{uuid.uuid4().hex}"
     one = spark.createDataFrame([("a b",), ("c",), ("a b",)], "t string")
     two = spark.createDataFrame([("c",), ("d e",)], "t string")
     assert extend_store(path, one, "t", "m", word_hash_encoder, 8).count() == 2
