@@ -36,7 +36,7 @@ from quarrylight.sources.staging import stage
 STRIDE = 64
 BLOCK_IDS = 1 << 18
 MAX_BITS = 18
-REMEMBERED = 1_200_000
+REMEMBERED = 1_600_000
 IDS_SCHEMA = "id long, ids binary, n_ids long"
 BLOCK_SCHEMA = (
     "part int, block int, first long, doc_ids array<bigint>, lengths array<bigint>, n_ids long, "
@@ -48,7 +48,7 @@ RUN = regex.compile(f"[^{WHITE}]+")
 
 
 class WordIds(dict):
-    """The ids of a run of non-white characters, as little-endian unsigned 32-bit integers.
+    """The ids of a run of non-white characters, as little-endian unsigned integers of `code`'s width.
 
     White space ends every word and is dropped, so a text's ids are its runs' ids in order. Plain ASCII
     is lower-cased here, other runs go through the tokenizer's normaliser; words are merged by its model.
@@ -60,11 +60,12 @@ class WordIds(dict):
         self.tokenizer = load_tokenizer(path)
         self.merge = self.tokenizer.model.tokenize
         self.specials = special_strings(self.tokenizer)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     def word(self, word: str) -> bytes:
         found = self.get(word)
         if found is None:
-            found = array("I", [t.id for t in self.merge(to_letters(word))]).tobytes()
+            found = array(self.code, [t.id for t in self.merge(to_letters(word))]).tobytes()
             self.keep(word, found)
         return found
 
@@ -90,18 +91,24 @@ class WordIds(dict):
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.specials) or ODD.search(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def id_type(path: str) -> np.dtype:
+    """Two bytes for an id where the vocabulary allows it, else four."""
+    return np.dtype("<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, ids, n_ids) of every document; ids as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(id, ids, n_ids) of every document; ids as `id_type` says."""
+    kind = id_type(path)
+    end = np.array([end_id], kind).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
@@ -109,7 +116,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_column: str, te
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 out = [words.ids(t) + end for t in part.column("text").to_pylist()]
-                counts = pa.array([len(x) // 4 for x in out], pa.int64())
+                counts = pa.array([len(x) // kind.itemsize for x in out], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(out, pa.binary()), counts], ["id", "ids", "n_ids"]
                 )
@@ -118,13 +125,13 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_column: str, te
     return source.mapInArrow(encode, IDS_SCHEMA)
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, kind: np.dtype) -> DataFrame:
     """(token, n) over all documents: counted within tasks, then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
             if len(found) > len(totals):
                 totals = np.pad(totals, (0, len(found) - len(totals)))
             totals[: len(found)] += found
@@ -230,8 +237,9 @@ def write_token_blocks(
     The counts that reach the driver are one per vocabulary entry; so is the broadcast code.
     """
     spark = docs.sparkSession
+    kind = id_type(path)
     encoded = stage(encode_documents(docs, path, end_id, id_column, text_column), "token-ids")
-    counted = sorted((r.token, r.n) for r in id_counts(encoded).collect())
+    counted = sorted((r.token, r.n) for r in id_counts(encoded, kind).collect())
     lengths = np.zeros((counted[-1][0] + 1) if counted else 1, np.int64)
     if counted:
         tokens, n = np.array(counted, np.int64).T
@@ -252,7 +260,7 @@ def write_token_blocks(
         ])
 
         def block() -> pa.RecordBatch:
-            payload, checkpoints = pack(np.frombuffer(b"".join(ids), "<u4"), codes, sizes)
+            payload, checkpoints = pack(np.frombuffer(b"".join(ids), kind), codes, sizes)
             row = [[part], [number], [first], [names], [counts], [held], [checkpoints], [payload]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
@@ -260,8 +268,8 @@ def write_token_blocks(
             for name, content in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids.append(content)
                 names.append(name)
-                counts.append(len(content) // 4)
-                held += len(content) // 4
+                counts.append(len(content) // kind.itemsize)
+                held += counts[-1]
                 if held >= BLOCK_IDS:
                     yield block()
                     first, number = first + held, number + 1
