@@ -50,7 +50,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("row.doc_id", "source", "n_tokens", "weight", "epoch", "position")
+    return mixed.select("row.doc_id", "source", "weight", "epoch", "position")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
