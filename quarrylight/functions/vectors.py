@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,16 @@ def hash_sign(token: Column) -> Column:
     return F.when(bit == 1, 1).otherwise(-1)
 
 
-def hash_embed(texts: DataFrame, key: str, text: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+def hash_embed(
+    texts: DataFrame, key: str, text: str, dim: int = EMBEDDING_DIM, cut: Callable[[Column], Column] = tokenize
+) -> DataFrame:
     """key -> embedding: signed token counts hashed into `dim` buckets, length one.
 
+    `cut` gives a text's tokens as an array.
     The tokens of a text are summed per bucket before the shuffle, so a text sends at most
     `dim` rows whatever its length. Texts without tokens get the zero vector.
     """
-    tokens = texts.select(key, F.explode_outer(tokenize(F.col(text))).alias("token"))
+    tokens = texts.select(key, F.explode_outer(cut(F.col(text))).alias("token"))
     sums = tokens.groupBy(key, hash_bucket(F.col("token"), dim).alias("bucket")).agg(
         F.sum(hash_sign(F.col("token"))).alias("value")
     )

@@ -138,11 +138,13 @@ def table_reach(catalog: Catalog) -> DataFrame:
 def reach_within(edges: DataFrame | StepEdges, requests: DataFrame) -> DataFrame:
     """requests(seed, depth) -> (seed, depth, node, distance).
 
-    Each seed is walked once, to the largest depth asked for it.
+    Each seed is walked once, to the largest depth asked for it. The largest of all is read first (one
+    small job), as it is the number of hops.
     """
     asked = requests.select("seed", "depth").distinct()
     seeds = asked.groupBy("seed").agg(F.max("depth").alias("depth"))
-    found = reach(edges, seeds, MAX_TRACE_DEPTH)
+    hops = asked.agg(F.max("depth")).first()[0]
+    found = reach(edges, seeds, max(hops or 0, 1))
     return found.join(asked, "seed").where(F.col("distance") <= F.col("depth"))
 
 
@@ -160,7 +162,7 @@ def directed_edges(catalog: Catalog, direction: str) -> StepEdges:
 
 
 def bfs(catalog: Catalog, requests: DataFrame, direction: str) -> DataFrame:
-    """requests(seed, depth 1..6) -> (seed, depth, node, distance) in one direction."""
+    """requests(seed, depth) -> (seed, depth, node, distance) in one direction."""
     return reach_within(directed_edges(catalog, direction), requests)
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from quarrylight.config import OUTPUT_CHARS
 from quarrylight.functions.text import record_type, snippet
+from quarrylight.operators.limits import json_text
 from quarrylight.operators.lineage import neighbor_counts
 from quarrylight.operators.search import Corpus, search
 from quarrylight.sources.catalog import Catalog
 
+# Characters of {"id":"","name":"","layer":""} and a comma: no listed table takes fewer.
+ITEM_CHARS = 31
 ASSET_KINDS = ["report", "table", "metric"]
 
 
@@ -90,24 +93,26 @@ def person(catalog: Catalog, prefix: str) -> DataFrame:
 
 
 def linked_tables(catalog: Catalog, links: DataFrame, key: str) -> DataFrame:
-    """key -> tables: structs (id, name, layer) sorted by ID.
+    """key -> linked_count, tables (structs id, name, layer, by ID) and truncated.
 
-    At most as many as fit the payload cap are listed; linked_count is exact.
+    Tables are listed while their JSON fits the payload cap; truncated tells that some did not. An item
+    takes ITEM_CHARS at least, which bounds how many of a key's links can fit before any are sorted.
     """
     order = Window.partitionBy(key).orderBy("table_id")
+    item = F.struct(F.col("table_id").alias("id"), "name", "layer")
     cards = links.join(catalog.tables.select("table_id", "name", "layer"), "table_id")
     counts = links.groupBy(key).agg(F.count("*").alias("linked_count"))
+    able = cards.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= OUTPUT_CHARS // ITEM_CHARS)
+    size = F.length(json_text(item)) + 1
     shown = (
-        cards.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= OUTPUT_CHARS // 10)
+        able.withColumn("upto", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("upto") <= OUTPUT_CHARS)
         .groupBy(key)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col("table_id").alias("id"), "name", "layer"))
-            ).alias("tables")
-        )
+        .agg(F.array_sort(F.collect_list(item)).alias("tables"))
+    )
+    return counts.join(shown, key, "left").withColumn(
+        "truncated", F.coalesce(F.size("tables"), F.lit(0)) < F.col("linked_count")
     )
-    return counts.join(shown, key, "left")
 
 
 def report_cards(catalog: Catalog) -> DataFrame:

@@ -15,7 +15,7 @@ from quarrylight.plans.registry import query
 from quarrylight.plans.run_bindings import items
 from quarrylight.plans.search_views import FUNCTIONS, word_set_sql
 from quarrylight.sources.catalog import assets, metric_sources
-from quarrylight.sources.embeddings import embed_texts, extend_store, word_hash_encoder
+from quarrylight.sources.embeddings import embed_texts, extend_store
 from quarrylight.sources.staging import staging_dir
 
 DEPARTMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -316,7 +316,7 @@ _WORD_BUCKETS = f"""
 SELECT item_id, count(*)::BIGINT AS nonzero, round(sum(v * (bucket + 1)) / sqrt(sum(v * v)), 6) + 0.0::DOUBLE AS weighted_sum
 FROM ({_WORD_BUCKETS.replace('{k}', 'item_id').replace('{t}', 'benchmark')}) y GROUP BY 1""")
 def embedded(spark, sf):
-    found = embed_texts(source(spark, sf, "benchmark"), "item_id", "text", word_hash_encoder, 64)
+    found = embed_texts(source(spark, sf, "benchmark"), "item_id", "text", dim=64)
     spread = found.select("item_id", F.posexplode("embedding").alias("bucket", "v")).where("v <> 0")
     return spread.groupBy("item_id").agg(
         F.count("*").alias("nonzero"),
@@ -330,7 +330,7 @@ FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)""")
 def embedding_store(spark, sf):
     path = f"{staging_dir(spark)}/vectors-{uuid.uuid4().hex}"
     for name in ("benchmark", "documents", "documents"):
-        stored = extend_store(path, source(spark, sf, name), "text", "hash64", word_hash_encoder, 64)
+        stored = extend_store(path, source(spark, sf, name), "text", "hash64", dim=64)
     return stored.select("text_key", "model")
 
 

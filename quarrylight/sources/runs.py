@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.operators.runs import KEY
+from quarrylight.sources.staging import stored
 
 STEP = (
     "STRUCT<kind: STRING, name: STRING, arguments: STRING, summary: STRING, duration_ms: INT,"
@@ -30,6 +31,10 @@ ITEM = (
 QUOTA = "days MAP<STRING, STRUCT<requests: BIGINT, tokens: BIGINT>>, observed_rpd BIGINT"
 
 
+# A run is written by so many tasks.
+TASKS_PER_RUN = 16
+
+
 def read_run_lines(spark: SparkSession, path: str) -> DataFrame:
     """Run files as flat lines, with the name of the file a line came from."""
     raw = spark.read.schema(RUN_LINE).option("mode", "FAILFAST").json(path)
@@ -97,14 +102,14 @@ def append_answers_once(
     """
     first = fresh.groupBy(*KEY).agg(F.min(order).alias(order))
     new = fresh.join(first, [*KEY, order], "left_semi")
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        stored = spark.read.parquet(path)
+    held = stored(spark, path)
+    if held is not None:
         foreign = new.select(*identity).distinct().join(
-            stored.select(*identity).distinct(), identity, "left_anti"
+            held.select(*identity).distinct(), identity, "left_anti"
         )
         if not foreign.isEmpty():
             raise ValueError(f"answers of another run: {foreign.first().asDict()}")
-        new = new.join(stored.select(*KEY), KEY, "left_anti")
-    new.repartition("config", "repeat").write.mode("append").partitionBy("config", "repeat").parquet(path)
+        new = new.join(held.select(*KEY), KEY, "left_anti")
+    part = F.pmod(F.xxhash64("item_id"), F.lit(TASKS_PER_RUN))
+    new.repartition("config", "repeat", part).write.mode("append").partitionBy("config", "repeat").parquet(path)
     return spark.read.parquet(path)

@@ -103,3 +103,26 @@ def test_walk_plans_have_no_pairwise_join(spark):
     seeds = edges.select(F.col("src").alias("seed"))
     plan = lineage.reach(edges, seeds, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_walks_as_deep_as_asked(spark):
+    named = [(f"n{i}", f"n{i + 1}") for i in range(9)]
+    edges = spark.createDataFrame(named, "src string, dst string")
+    requests = spark.createDataFrame([("n0", 8), ("n3", 1), ("n4", 0)], "seed string, depth int")
+    found = {(r.seed, r.depth, r.node, r.distance) for r in lineage.reach_within(edges, requests).collect()}
+    assert found == {("n0", 8, f"n{i}", i) for i in range(1, 9)} | {("n3", 1, "n4", 1)}
+
+
+def test_cards_list_what_fits(spark, mini):
+    from dataclasses import replace
+
+    from quarrylight.config import OUTPUT_CHARS
+    from quarrylight.operators import tools
+
+    many = spark.range(1, 1001).selectExpr("format_string('TBL-%04d', id) AS table_id", "'t' AS name", "'mart' AS layer")
+    links = many.selectExpr("'RPT-0001' AS report_id", "table_id").union(many.limit(3).selectExpr("'RPT-0002'", "table_id"))
+    card = {r.report_id: r for r in tools.linked_tables(replace(mini, tables=many), links, "report_id").collect()}
+    assert card["RPT-0001"].linked_count == 1000 and card["RPT-0001"].truncated
+    size = len('{"id":"TBL-0001","name":"t","layer":"mart"}') + 1
+    assert len(card["RPT-0001"].tables) == OUTPUT_CHARS // size
+    assert (card["RPT-0002"].linked_count, len(card["RPT-0002"].tables), card["RPT-0002"].truncated) == (3, 3, False)

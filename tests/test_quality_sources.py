@@ -1,6 +1,7 @@
 import uuid
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from quarrylight import schemas
 from quarrylight.operators import quality
 from quarrylight.sources import catalog as catalogs
 from quarrylight.sources import runs as run_files
-from quarrylight.sources.embeddings import embed_texts, extend_store, word_hash_encoder
+from quarrylight.sources.embeddings import embed_texts, extend_store
 from quarrylight.sources.staging import staging_dir
 from quarrylight.sources.validation import check_rows, quarantined_rows, valid_rows
 from quarrylight.streaming import streams
@@ -88,10 +89,10 @@ def test_store_encodes_only_new_texts(spark):
     path = f"{staging_dir(spark)}/vectors-test-{uuid.uuid4().hex}"
     one = spark.createDataFrame([("a b",), ("c",), ("a b",)], "t string")
     two = spark.createDataFrame([("c",), ("d e",)], "t string")
-    assert extend_store(path, one, "t", "m", word_hash_encoder, 8).count() == 2
-    assert extend_store(path, two, "t", "m", word_hash_encoder, 8).count() == 3
+    assert extend_store(path, one, "t", "m", dim=8).count() == 2
+    assert extend_store(path, two, "t", "m", dim=8).count() == 3
     with pytest.raises(Exception, match="encoder returned"):
-        embed_texts(one.withColumn("k", F.lit("x")), "k", "t", lambda dim: word_hash_encoder(dim + 1), 8).collect()
+        embed_texts(one.withColumn("k", F.lit("x")), "k", "t", lambda dim: lambda found: np.ones((len(found), dim + 1)), 8).collect()
 
 
 def test_failure_stops_batch_matches_a_scan(spark):
