@@ -13,7 +13,7 @@ from quarrylight.llm import chat_format, language_model, private_data
 from quarrylight.llm.decontamination import benchmark_hits
 from quarrylight.llm.main_text import extract_main_text
 from quarrylight.llm.near_duplicates import Link, near_duplicates
-from quarrylight.llm.quality_rules import quality_rules
+from quarrylight.llm.quality_rules import BOILERPLATE, quality_rules
 from quarrylight.llm.source_mixing import mix_sources
 from quarrylight.llm.tables import hex_digest, table
 from quarrylight.llm.token_counts import token_counts
@@ -133,6 +133,76 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
+QUALITY_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM base
+), windows AS (
+  SELECT *, list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS grams,
+    list_filter(lines, lambda l:
+      20 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) <= length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g'))
+      AND NOT (length(regexp_replace(l, '[^|»›•·→]', '', 'g')) >= 3
+        AND 6 * length(regexp_replace(l, '[^|»›•·→]', '', 'g')) > length(regexp_replace(l, '[^ ]', '', 'g')))
+      AND NOT regexp_matches(lower(l), '{notices}')
+      AND regexp_matches(l, '[.!?…。！？]["''”’»)\]]*(?:[\x20\x09-\x0D]|$)')
+      AND NOT (length(regexp_replace(l, '[^\p{L}]', '', 'g')) >= 20
+        AND length(regexp_replace(l, '[^\p{Lu}]', '', 'g')) > 0.6 * length(regexp_replace(l, '[^\p{L}]', '', 'g'))
+        AND length(l) - length(replace(l, '!!', '')) >= 6)
+    ) AS good FROM cut
+), spread AS (
+  SELECT rid, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS place
+  FROM windows
+), starts AS (
+  SELECT rid, place FROM (SELECT rid, place, count(*) OVER (PARTITION BY rid, gram) AS n FROM spread) WHERE n > 1
+), covered AS (
+  SELECT rid, sum(least(3, coalesce(follows - place, 3))) AS n FROM (
+    SELECT rid, place, lead(place) OVER (PARTITION BY rid ORDER BY place) AS follows FROM starts) GROUP BY rid
+), counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(good))::BIGINT AS n_failed_lines,
+    coalesce(length(array_to_string(lines, '')), 0) AS whole, coalesce(length(array_to_string(good, '')), 0) AS remaining
+  FROM windows LEFT JOIN covered c USING (rid)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 10 * remaining >= 7 * whole AS kept, n_lines, n_failed_lines
+FROM judged""".replace("{notices}", "|".join(BOILERPLATE))
+
+# Items as word lists; a window is 13 words of an item, or all words of a shorter one.
+DECONTAMINATION_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), item AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), known AS (
+  SELECT DISTINCT item, width, array_to_string(words[i : i + width - 1], ' ') AS gram FROM (
+    SELECT item, words, least(13, len(words)) AS width, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i
+    FROM item WHERE len(words) > 0)
+), widths AS (
+  SELECT DISTINCT width FROM known
+), grams AS (
+  SELECT rid, width, i, array_to_string(words[i : i + width - 1], ' ') AS gram FROM (
+    SELECT rid, words, width, unnest(range(1, len(words) - width + 2)) AS i FROM doc, widths WHERE len(words) >= width)
+), met AS (
+  SELECT rid, item, i, width FROM grams JOIN known USING (width, gram)
+), hits AS (
+  SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + width)) AS place FROM met) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.listed, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(words) AS contaminated
+FROM doc LEFT JOIN hits h USING (rid) LEFT JOIN items t USING (rid)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": CHAT_SQL}
+    return {
+        "op5_quality_rules": QUALITY_SQL, "op7_chat_format": CHAT_SQL, "op10_decontamination": DECONTAMINATION_SQL,
+    }
