@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables that `stage` returned.
+PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def staging_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only in local mode."""
@@ -33,7 +37,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    PATHS[staged] = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Free the disk of tables that `stage` returned: an empty table is written over each.
+
+    Only for tables from which all that is still needed has been written elsewhere.
+    """
+    for df in staged:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(PATHS.pop(df))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
