@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -167,6 +168,45 @@ def test_model_learns_and_scores_exactly(spark, none, odd):
     assert {r.mean_log_probability for r in language_model.score_documents(odd, model, shape).collect() if r.doc_id in (3, 4)} == {None}
 
 
+def test_every_word_has_its_own_probability(spark):
+    assert language_model.least_count(10_000) < language_model.least_count(100_000_000)
+    assert language_model.shape_for(8_000).words >= 8_000
+    shape = language_model.Shape(classes=2, middle=2, per_class=3, buckets=8, hidden=4, reach=2, batch=64)
+    draw = random.Random(5)
+    texts = [(n, " ".join(f"w{int(draw.paretovariate(0.7)) % 200}" for _ in range(50))) for n in range(60)] + [(60, ""), (60, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    counts = Counter(w for _, t in texts for w in (t or "").split())
+    for known in (20, 1000):
+        model = language_model.train_model(docs, shape, known=known)
+        assert len(model.listed) == 4 and (model.rare is None) == (known == 1000)
+        numbers, others = language_model.Numbers(model.listed, shape), Counter()
+        for w, n in counts.items():
+            others[numbers[w]] += n * (w not in model.listed)
+        held = spark.createDataFrame(texts + [(70, "w1 never w150 w1")], "doc_id long, text string")
+        got = {r.doc_id: r.pseudo_log_likelihood for r in language_model.score_documents(held, model).collect()}
+        assert len(got) == 62
+        for d, text in [*texts[:60], (70, "w1 never w150 w1")]:
+            row, at = language_model.padded([np.array([numbers[w] for w in text.split()])], shape)
+            whole = sum(language_model.log_probabilities(row, at, model.weights, shape).tolist())
+            whole += sum(math.log(counts.get(w, 1) / (others[numbers[w]] + 1)) for w in text.split() if w not in model.listed)
+            assert math.isclose(whole, got[d], rel_tol=1e-4), d
+
+
+def test_model_gradients(spark):
+    shape = language_model.Shape(classes=2, middle=2, per_class=3, buckets=4, hidden=4, reach=2)
+    w = language_model.initial_weights(shape)
+    row, at = language_model.padded([np.array([1, 5, 3, 0, 11, 7]), np.array([2, 2, 9])], shape)
+    found = language_model.gradients(row, at, w, shape)
+    for k in w:
+        place = np.unravel_index(np.abs(found[k]).argmax(), w[k].shape)
+        ends = []
+        for step in (0.01, -0.01):
+            moved = {n: v.copy() for n, v in w.items()}
+            moved[k][place] += step
+            ends.append(-float(language_model.log_probabilities(row, at, moved, shape).astype(float).mean()))
+        assert math.isclose((ends[0] - ends[1]) / 0.02, found[k][place], rel_tol=0.02, abs_tol=1e-4), k
+
+
 def test_main_text_leaves_the_rest_out(spark):
     page = (
         "<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body class='has-sidebar'><header>Site</header>"
