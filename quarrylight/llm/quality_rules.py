@@ -1,8 +1,10 @@
 """Line-first quality cleaning, in DataFrame functions only.
 
-Every line is judged by itself: punctuation (no sentence ends in it, or it shouts), symbols, navigation
-(a chain of separated entries) and boilerplate (notices that sites repeat). Failing lines go; a document
-that loses more than `max_lost` of its characters, or fails the base rules, is rejected.
+Every line is judged by itself: shouting, symbols, navigation (a chain of separated entries) and
+boilerplate (notices that sites repeat). Punctuation is judged on runs of lines up to a blank line, a
+line that ends a sentence or one too long for wrapped text: a sentence ends in the run, or the run is a list or a
+heading above text. Failing lines go; a document that loses more than `max_lost` of its characters, or
+fails the base rules, is rejected.
 
 Base rules: fewer than 50 words, or more than half of the words in three-word windows that the text
 repeats. Nothing is shuffled and no row is split, so a document's whole text is judged in one task.
@@ -30,8 +32,21 @@ BOILERPLATE = (
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
-# Ends of sentences, with closing quotes or brackets. Fixed values.
-SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
+# Ends of sentences in the scripts that mark them, with closing quotes or brackets. Fixed values.
+ENDS = ".!?…。！？｡．।॥؟۔։።፧፨။។៕༎།‼⁇⁈⁉᠃᙮꘎꘏߹꓿"
+CLOSERS = r"[\"'”’»)\]」』]"
+SENTENCE_END = rf"[{ENDS}]{CLOSERS}*(?:[\x20\x09-\x0D]|$)"
+# Lines of wrapped text have so many characters at most; longer ones are runs of their own.
+WRAP_CHARS = 120
+# Where a run of lines ends: at blank lines, behind a line that ends a sentence, and around long lines.
+RUN_END = (
+    rf"\n[\x20\x09-\x0D]*\n|(?<=[{ENDS}]{CLOSERS}{{0,4}}[\x20\x09\x0B-\x0D]{{0,4}})\n"
+    rf"|(?<=[^\n]{{{WRAP_CHARS + 1}}})\n|\n(?=[^\n]{{{WRAP_CHARS + 1}}})"
+)
+# The first or second line of a list begins with a mark; or a line announces what follows.
+LIST = r"^(?:[^\n]*\n)?[\x20\x09]*(?:[-*+•‣◦–]|\(?(?:[0-9]{1,3}|[A-Za-z])[.)])[\x20\x09]+[^\x20\x09-\x0D]"
+ANNOUNCES = r"[:：][\x20\x09\x0B-\x0D]*(?:\n|$)"
+HEADING_CHARS = 100
 
 
 def without(column: Column, characters: str) -> Column:
@@ -46,13 +61,31 @@ def has_word(line: Column) -> Column:
     return F.length(without(line, BLANKS)) > 0
 
 
-def bad_punctuation(line: Column) -> Column:
-    """No sentence ends in the line, or nearly all of its letters are capitals with shouted ends."""
+def shouting(line: Column) -> Column:
+    """Nearly all of its letters are capitals, with shouted ends."""
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    shouting = (letters >= 20) & (capitals > 0.6 * letters) & (shouts >= 3)
-    return ~line.rlike(SENTENCE_END) | shouting
+    return (letters >= 20) & (capitals > 0.6 * letters) & (shouts >= 3)
+
+
+def marked_run(run: Column) -> Column:
+    """A run of lines with whether it stands by itself: a sentence ends in it, or it is or announces a list."""
+    stands = run.rlike(SENTENCE_END) | run.rlike(LIST) | run.rlike(ANNOUNCES)
+    return F.struct(run.alias("run"), stands.alias("stands"))
+
+
+def punctuated(marked: Column, i: Column) -> Column:
+    """Whether the i-th run stands, follows an announcement, or is a heading: one short line with a run
+    that stands among the next two."""
+
+    def stands(k: Column) -> Column:
+        return F.coalesce(F.get(marked, k)["stands"], F.lit(False))
+
+    run = F.get(marked, i)["run"]
+    heading = (F.length(run) <= HEADING_CHARS) & ~run.contains("\n")
+    announced = F.coalesce(F.get(marked, i - 1)["run"].rlike(ANNOUNCES.replace(r"\n|", "")), F.lit(False))
+    return stands(i) | (heading & (stands(i + 1) | stands(i + 2))) | announced
 
 
 def bad_symbols(line: Column) -> Column:
@@ -71,7 +104,17 @@ def boilerplate(line: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    return ~(bad_symbols(line) | navigation(line) | boilerplate(line) | bad_punctuation(line))
+    return ~(bad_symbols(line) | navigation(line) | boilerplate(line) | shouting(line))
+
+
+def good_lines(marked: Column) -> Column:
+    """The lines that pass, of all runs in order."""
+
+    def of(m: Column, i: Column) -> Column:
+        lines = F.filter(F.split(m["run"], "\n"), has_word)
+        return F.when(punctuated(marked, i), F.filter(lines, line_passes)).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(marked, of))
 
 
 def repeated_positions(sorted_windows: Column) -> Column:
@@ -108,7 +151,8 @@ def quality_rules(docs: DataFrame, text_column: str = "text", max_lost: float =
     pairs = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     step = step.withColumn("_sorted", F.when(repeats, F.array_sort(pairs)))
     step = step.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), repeated_positions(F.col("_sorted"))))
-    step = step.withColumn("_good", F.filter("_lines", line_passes))
+    step = step.withColumn("_marked", F.transform(F.filter(F.split(text, RUN_END), has_word), marked_run))
+    step = step.withColumn("_good", good_lines(F.col("_marked")))
     cleaned = F.when(
         F.size("_good") == F.size("_lines"), text
     ).otherwise(F.array_join("_good", "\n"))

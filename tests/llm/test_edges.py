@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -69,6 +70,23 @@ def test_quality_rules_drop_failing_lines(spark):
     assert rows[1].kept and rows[1].cleaned == PROSE and rows[1].n_failed_lines == 2 and not rows[2].kept
 
 
+def judged(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.row.doc_id: r for r in quality_rules(docs).collect()}
+
+
+def test_quality_rules_keep_wrapped_prose_headings_and_lists(spark):
+    words = [" ".join(f"word{n}{i} goes with{i} thing{n}" for i in range(30)) for n in range(3)]
+    wrapped = "\n".join(textwrap.wrap(f"{words[0]}. {words[1]}! Was {words[2]}?", 72))
+    scripts = ["\n".join(f"{w}{end}" for w in words) for end in ("।", "؟", "۔", "。”")]
+    headed = f"A title\n\nThe first part\n\n{wrapped}\n\nWhat it takes\n\n- two eggs\n- some flour\n\nAnd more:\nsalt\nwater\n\n{PROSE}"
+    menu = "\n".join(f"Entry {i} of this long menu" for i in range(30))
+    rows = judged(spark, [wrapped, *scripts, headed, f"{PROSE}\n\n{menu}", f"{menu}\n\n{PROSE[:300]}."])
+    for n in range(6):
+        assert rows[n].kept and rows[n].n_failed_lines == 0 and rows[n].cleaned == rows[n].row.text, n
+    assert rows[6].n_failed_lines == rows[7].n_failed_lines == 30 and not rows[7].kept
+
+
 def test_private_data(odd, none, spark):
     assert private_data.find_private_data(odd).count() == len(TEXTS)
     assert private_data.find_private_data(none).where("size(spans) > 0").count() == 0
