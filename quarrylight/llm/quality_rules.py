@@ -29,6 +29,8 @@ BOILERPLATE = (
     "javascript is disabled", "lorem ipsum", "click here", "read more", "sign up for", "subscribe to our",
     "share this", "skip to content", "powered by", "obtain a copy of the license",
 )
+NOTICE = r"(?<![\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])"
+NOTICE_CHARS = 100
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -38,13 +40,16 @@ CLOSERS = r"[\"'”’»)\]」』]"
 SENTENCE_END = rf"[{ENDS}]{CLOSERS}*(?:[\x20\x09-\x0D]|$)"
 # Lines of wrapped text have so many characters at most; longer ones are runs of their own.
 WRAP_CHARS = 120
-# Where a run of lines ends: at blank lines, behind a line that ends a sentence, and around long lines.
+# Where a run of lines ends: at blank lines, behind a line that ends a sentence or ends in a bar, and around
+# long lines. A run below a blank line keeps a line break in front.
 RUN_END = (
-    rf"\n[\x20\x09-\x0D]*\n|(?<=[{ENDS}]{CLOSERS}{{0,4}}[\x20\x09\x0B-\x0D]{{0,4}})\n"
+    rf"\n(?=[\x20\x09-\x0D]*\n)|(?<=[|»›•·→][\x20\x09]{{0,4}})\n|(?<=[{ENDS}]{CLOSERS}{{0,4}}[\x20\x09\x0B-\x0D]{{0,4}})\n"
     rf"|(?<=[^\n]{{{WRAP_CHARS + 1}}})\n|\n(?=[^\n]{{{WRAP_CHARS + 1}}})"
 )
+# A lone word right behind a finished line, with no blank line between, is neither heading nor wrapped text.
+LONE = rf"^[^\s:：{ENDS}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]{{1,30}}[\x20\x09]*(?:\n|$)"
 # The first or second line of a list begins with a mark; or a line announces what follows.
-LIST = r"^(?:[^\n]*\n)?[\x20\x09]*(?:[-*+•‣◦–]|\(?(?:[0-9]{1,3}|[A-Za-z])[.)])[\x20\x09]+[^\x20\x09-\x0D]"
+LIST = r"^\n?(?:[^\n]*\n)?[\x20\x09]*(?:[-*+•‣◦–]|\(?(?:[0-9]{1,3}|[A-Za-z])[.)])[\x20\x09]+[^\x20\x09-\x0D]"
 ANNOUNCES = r"[:：][\x20\x09\x0B-\x0D]*(?:\n|$)"
 HEADING_CHARS = 100
 
@@ -75,6 +80,10 @@ def marked_run(run: Column) -> Column:
     return F.struct(run.alias("run"), stands.alias("stands"))
 
 
+def lone(run: Column, i: Column) -> Column:
+    return (i > 0) & run.rlike(LONE)
+
+
 def punctuated(marked: Column, i: Column) -> Column:
     """Whether the i-th run stands, follows an announcement, or is a heading: one short line with a run
     that stands among the next two."""
@@ -83,7 +92,7 @@ def punctuated(marked: Column, i: Column) -> Column:
         return F.coalesce(F.get(marked, k)["stands"], F.lit(False))
 
     run = F.get(marked, i)["run"]
-    heading = (F.length(run) <= HEADING_CHARS) & ~run.contains("\n")
+    heading = (F.length(run) <= HEADING_CHARS) & ~F.regexp_replace(run, r"^\n", "").contains("\n") & ~lone(run, i)
     announced = F.coalesce(F.get(marked, i - 1)["run"].rlike(ANNOUNCES.replace(r"\n|", "")), F.lit(False))
     return stands(i) | (heading & (stands(i + 1) | stands(i + 2))) | announced
 
@@ -99,20 +108,24 @@ def navigation(line: Column) -> Column:
     return (marks >= 3) & (marks * 6 > spaces)
 
 
-def boilerplate(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(BOILERPLATE))
+def boilerplate(line: Column, run: Column) -> Column:
+    """A notice that is the line: in a short run, or most of a line that does not go on in small letters."""
+    low = F.lower(line)
+    without_notices = F.regexp_replace(low, NOTICE, "")
+    most = (F.length(without_notices) * 2 <= F.length(line)) & ~line.rlike(r"^[\x20\x09]*\p{Ll}")
+    return low.rlike(NOTICE) & ((F.length(run) <= NOTICE_CHARS) | most)
 
 
-def line_passes(line: Column) -> Column:
-    return ~(bad_symbols(line) | navigation(line) | boilerplate(line) | shouting(line))
+def line_passes(line: Column, run: Column) -> Column:
+    return ~(bad_symbols(line) | navigation(line) | boilerplate(line, run) | shouting(line))
 
 
 def good_lines(marked: Column) -> Column:
     """The lines that pass, of all runs in order."""
 
     def of(m: Column, i: Column) -> Column:
-        lines = F.filter(F.split(m["run"], "\n"), has_word)
-        return F.when(punctuated(marked, i), F.filter(lines, line_passes)).otherwise(F.array().cast("array<string>"))
+        lines = F.filter(F.split(m["run"], "\n"), lambda line, k: has_word(line) & ((k > 0) | ~lone(m["run"], i)))
+        return F.when(punctuated(marked, i), F.filter(lines, lambda line: line_passes(line, m["run"]))).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(marked, of))
 

@@ -87,6 +87,18 @@ def test_quality_rules_keep_wrapped_prose_headings_and_lists(spark):
     assert rows[6].n_failed_lines == rows[7].n_failed_lines == 30 and not rows[7].kept
 
 
+def test_quality_rules_keep_prose_that_holds_a_phrase(spark):
+    words = [" ".join(f"word{n}{i} goes with{i} thing{n}" for i in range(30)) for n in range(2)]
+    one = f"{words[0]}, a car powered by steam, {words[1]}. You can read more in it."
+    wrapped = "\n".join(textwrap.wrap(one, 60))
+    embedded = f"{PROSE}\nUnlicensed undertakings, empowered bystanders."
+    notices = f"{PROSE}\nAll rights reserved.\nThis work is licensed under the GNU General Public License, version 3."
+    rows = judged(spark, [one, wrapped, embedded, notices])
+    for n in range(3):
+        assert rows[n].kept and rows[n].n_failed_lines == 0 and rows[n].cleaned == rows[n].row.text, n
+    assert rows[3].n_failed_lines == 2 and rows[3].cleaned == PROSE
+
+
 def test_private_data(odd, none, spark):
     assert private_data.find_private_data(odd).count() == len(TEXTS)
     assert private_data.find_private_data(none).where("size(spans) > 0").count() == 0
