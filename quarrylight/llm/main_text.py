@@ -3,9 +3,10 @@
 Markup is stripped to lines, one per block of the page. A line's weight is its text length without link
 text, and 0 in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments). Weights
 are summed over windows of `WINDOW` lines. Text begins where the sum surges over the threshold and ends
-where it dives to nothing; the lines between are kept. Where a page names its article (`article`, `main`
-or the role `main`), lines outside it weigh nothing and any weight surges; else the threshold is a share
-of the page's highest sum.
+where it dives to nothing, and takes in adjoining lines with weight; the lines between are kept unless they
+are boilerplate, links as well. The threshold is a share of the highest sum or of a window of median lines,
+whichever is less. Where a page names its article (`article`, `main` or the role `main`), all lines in it
+that are not boilerplate are kept, and none outside it.
 
 Nulls: a null page is empty and gives an empty text. A page without any line gives an empty text.
 Unclosed elements end with the block that holds them. Empty tables give empty results, repeated rows one
@@ -18,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +62,7 @@ class Line:
     text: str
     weight: int
     named: bool  # inside an element that names the article
+    aside: bool  # in boilerplate
 
 
 def marks_boilerplate(name: str, tag: str) -> bool:
@@ -95,7 +98,7 @@ def page_lines(page: str) -> list[Line]:
         words = " ".join(html.unescape("".join(text)).split())
         if words:
             weight = 0 if aside else max(len(words) - linked, 0 if linked else len(words))
-            lines.append(Line(words, weight, named > 0))
+            lines.append(Line(words, weight, named > 0, aside > 0))
         text.clear()
         linked = 0
 
@@ -170,18 +173,30 @@ def page_lines(page: str) -> list[Line]:
 def main_lines(lines: list[Line]) -> list[str]:
     """The lines between surge and dive points of the windowed weights."""
     has_name = any(line.named and line.weight for line in lines)
-    weights = [line.weight if line.named or not has_name else 0 for line in lines]
+    if has_name:
+        # The page says where its text is: all of it, links as well.
+        return [line.text for line in lines if line.named and not line.aside]
+    weights = [line.weight for line in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    threshold = 0 if has_name else THRESHOLD_SHARE * max(sums, default=0)
-    kept, inside = [], False
-    for i, line in enumerate(lines):
+    threshold = THRESHOLD_SHARE * min(max(sums, default=0), WINDOW * median([w for w in weights if w] or [0]))
+    inside, spans = False, []
+    for i in range(len(lines)):
         if not inside and sums[i] > threshold and weights[i]:
             inside = True
+            spans.append([i, i])
         elif inside and not sums[i]:
             inside = False
         if inside and weights[i]:
-            kept.append(line.text)
-    return kept
+            spans[-1][1] = i
+    # Spans grow over adjoining lines with weight; what lies in a span stays unless it is boilerplate.
+    kept = set()
+    for low, high in spans:
+        while low and weights[low - 1]:
+            low -= 1
+        while high + 1 < len(lines) and weights[high + 1]:
+            high += 1
+        kept.update(i for i in range(low, high + 1) if not lines[i].aside)
+    return [lines[i].text for i in sorted(kept)]
 
 
 def main_text(page: str | None) -> str:

@@ -254,6 +254,16 @@ def test_main_text_leaves_the_rest_out(spark):
     assert extract_main_text(pages.where("false")).count() == 0
 
 
+def test_main_text_keeps_links_of_the_article():
+    page = (
+        "<body><nav><a>Home</a></nav><article><h1><a href=x>Linked heading</a></h1><p>Some words here.</p>"
+        "<p><a>Read the full report</a></p><ul><li><a>First item</a></li><li><a>Second item</a></li></ul><div class=ad><a>Buy</a></div></article>"
+    )
+    assert main_text(page) == "Linked heading\n\nSome words here.\n\nRead the full report\n\nFirst item\n\nSecond item"
+    plain = f"<div id=menu><a>x</a></div><p>{'Long text. ' * 20}</p><p><a>A link between</a></p><p>{'More text. ' * 20}</p>"
+    assert "A link between" in main_text(plain) and "x" not in main_text(plain).split()
+
+
 def test_pipeline_stages(odd, none):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
