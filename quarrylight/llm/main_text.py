@@ -53,7 +53,9 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+# Parts of names of the whole layout ("content-with-sidebar", "layout-sidebar-right", "two-column").
+LAYOUT_WORDS = frozenset("has no with without layout wrapper wrap container content main page body grid row column columns col".split())
 PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -65,25 +67,33 @@ class Line:
     aside: bool  # in boilerplate
 
 
+def attributes(tag: str) -> dict[str, str]:
+    """Attributes of a tag, names and values in small letters; the first of a name counts."""
+    found: dict[str, str] = {}
+    start = NAME.match(tag)
+    for m in ATTRIBUTE.finditer(tag, start.end() if start else 0):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
 def marks_boilerplate(name: str, tag: str) -> bool:
-    for found in ATTRIBUTE.finditer(tag):
-        key = found[1].lower()
-        value = (found[2] or found[3] or found[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "main"):
-            for token in value.split():
-                parts = PARTS.findall(token)
-                # "has-sidebar" and the like describe the whole layout.
-                if parts and parts[0] not in ("has", "no", "with") and ASIDE_WORDS.intersection(parts):
-                    return True
+    values = attributes(tag)
+    if "hidden" in values or values.get("aria-hidden") == "true":
+        return True
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")):
+        return True
+    if name in ("html", "body", "main"):
+        return False
+    for key in ("class", "id", "role"):
+        for token in values.get(key, "").split():
+            parts = PARTS.findall(token)
+            if not LAYOUT_WORDS.intersection(parts) and ASIDE_WORDS.intersection(parts):
+                return True
     return False
 
 
 def names_article(name: str, tag: str) -> bool:
-    return name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", tag, re.I))
+    return name in ("article", "main") or attributes(tag).get("role") == "main"
 
 
 def page_lines(page: str) -> list[Line]:

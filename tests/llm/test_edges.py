@@ -264,6 +264,20 @@ def test_main_text_keeps_links_of_the_article():
     assert "A link between" in main_text(plain) and "x" not in main_text(plain).split()
 
 
+def test_main_text_without_article_elements():
+    short = ["".join(f"{w} " * 14).strip() + "." for w in ("first", "second", "third")]
+    long = "a long part of it " * 110 + "."
+    paragraphs = "".join(f"<p>{s}</p>" for s in short)
+    links = "<p><a>one</a></p><p><a>two</a></p><p><a>three</a></p><p><a>four</a></p>"
+    for page in (f"<body>{paragraphs}<p>{long}</p>", f"<body><p>{long}</p>{links}{paragraphs}"):
+        assert all(s in main_text(page) for s in [*short, long])
+    text = "Plain words of a paragraph that is read."
+    for opening in ('p title="the hidden door"', 'p data-id="ad"', "div class='content-with-sidebar'", 'div class="layout-sidebar-right"'):
+        assert main_text(f"<body><{opening}>{text}") == text, opening
+    for opening in ("p hidden", "p id=ad", 'div class="sidebar right"', "p style='display: none'", 'p aria-hidden="true"'):
+        assert main_text(f"<body><{opening}>{text}") == "", opening
+
+
 def test_pipeline_stages(odd, none):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
