@@ -77,6 +77,27 @@ def _phone(value: Column) -> Column:
     return F.length(digits_of(value)).between(9, 15)
 
 
+# Characters of an account number by country, as registered. Fixed values.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "HR LV LI CH",
+    22: "BH BG CR GE DE IE ME RS GB VA", 23: "GI IQ IL TL AE OM SO", 24: "AD CZ MD PK RO SA SK ES SE TN VG DZ",
+    25: "PT ST LY", 26: "IS TR", 27: "FR GR IT MR MC SM BI DJ", 28: "AL AZ BY CY DO GT HU LB PL SV NI", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def account_pattern() -> str:
+    """A country's letters, then as many characters as its numbers have, in groups or not; letters or
+    digits right behind are no part of another number. Other countries: 11 to 30 characters behind."""
+    known = [
+        rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}(?![A-Za-z0-9])"
+        for length, countries in ACCOUNT_LENGTHS.items()
+    ]
+    listed = "|".join(" ".join(ACCOUNT_LENGTHS.values()).split())
+    other = rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(known)}|{other})"
+
+
 def _account(value: Column) -> Column:
     plain = F.replace(value, F.lit(" "), F.lit(""))
     return F.length(plain).between(15, 34) & mod97(plain)
@@ -104,7 +125,7 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])", "0123456789", _card, 0.8,
          r"card|visa|credit|pay", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _phone, 0.7, r"phone|tel|call|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "0123456789", _account, 0.9,
+    Kind("iban", account_pattern(), "0123456789", _account, 0.9,
          r"iban|account|bank", False),
     Kind("local_phone", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", "0123456789", _email, 0.3,
          r"phone|\btel\b|call|mobile|fax", False),

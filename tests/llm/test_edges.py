@@ -110,6 +110,14 @@ def test_private_data(odd, none, spark):
     assert found.masked == "IBAN [iban], DE88370400440532013000; [email][email]; [ip].5; [card]; [phone]."
 
 
+def test_accounts_before_capitals(spark):
+    account, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN: {account} BIC: COBADEFFXXX", f"IBAN {spaced} BIC", f"account {account} I paid", f"bank {spaced} 42 EUR GB82 WEST 1234 5698 7654 32 NOW"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.row.doc_id: [s.text for s in r.spans if s.kind == "iban"] for r in private_data.find_private_data(docs).collect()}
+    assert found == {0: [account], 1: [spaced], 2: [account], 3: [spaced, "GB82 WEST 1234 5698 7654 32"]}
+
+
 def test_decontamination(odd, none, spark):
     items = spark.createDataFrame([(None, PROSE[:300]), ("a,b", "a B"), ("x", None)], "item_id string, text string")
     rows = benchmark_hits(odd, items).collect()
