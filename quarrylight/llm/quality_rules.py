@@ -43,8 +43,8 @@ WRAP_CHARS = 120
 # Where a run of lines ends: at blank lines, behind a line that ends a sentence or ends in a bar, and around
 # long lines. A run below a blank line keeps a line break in front.
 RUN_END = (
-    rf"\n(?=[\x20\x09-\x0D]*\n)|(?<=[|»›•·→][\x20\x09]{{0,4}})\n|(?<=[{ENDS}]{CLOSERS}{{0,4}}[\x20\x09\x0B-\x0D]{{0,4}})\n"
-    rf"|(?<=[^\n]{{{WRAP_CHARS + 1}}})\n|\n(?=[^\n]{{{WRAP_CHARS + 1}}})"
+    rf"\n(?:(?=[\x20\x09-\x0D]*\n)|(?<=[|»›•·→][\x20\x09]{{0,4}}\n)|(?<=[{ENDS}]{CLOSERS}{{0,4}}[\x20\x09\x0B-\x0D]{{0,4}}\n)"
+    rf"|(?<=[^\n]{{{WRAP_CHARS + 1}}}\n)|(?=[^\n]{{{WRAP_CHARS + 1}}}))"
 )
 # A lone word right behind a finished line, with no blank line between, is neither heading nor wrapped text.
 LONE = rf"^[^\s:：{ENDS}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]{{1,30}}[\x20\x09]*(?:\n|$)"
@@ -165,7 +165,8 @@ def quality_rules(docs: DataFrame, text_column: str = "text", max_lost: float =
     step = step.withColumn("_sorted", F.when(repeats, F.array_sort(pairs)))
     step = step.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), repeated_positions(F.col("_sorted"))))
     step = step.withColumn("_marked", F.transform(F.filter(F.split(text, RUN_END), has_word), marked_run))
-    step = step.withColumn("_good", good_lines(F.col("_marked")))
+    # A lambda's variable is worked out once; the column itself would be for each run.
+    step = step.withColumn("_good", F.get(F.transform(F.array("_marked"), good_lines), 0))
     cleaned = F.when(
         F.size("_good") == F.size("_lines"), text
     ).otherwise(F.array_join("_good", "\n"))
