@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat_format, language_model, private_data
+from quarrylight.llm import chat_format, language_model, private_data, ranked_search
+from quarrylight.llm.alignment import link_scores
 from quarrylight.llm.decontamination import benchmark_hits
 from quarrylight.llm.main_text import extract_main_text
 from quarrylight.llm.near_duplicates import Link, near_duplicates
+from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.quality_rules import BOILERPLATE, quality_rules
 from quarrylight.llm.source_mixing import mix_sources
 from quarrylight.llm.tables import hex_digest, table
@@ -104,6 +106,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_scores(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,7 +133,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_token_counts, op2_main_text, op3_lm_scores, op4_near_duplicates, op5_quality_rules, op6_source_mix,
-        op7_chat_format, op8_token_blocks, op9_private_data, op10_decontamination, pipeline,
+        op7_chat_format, op8_token_blocks, op9_private_data, op10_decontamination,
+        op11_ranked_search, op12_packing, op13_token_alignment, pipeline,
     ]
     return {q.__name__: q for q in named}
 
@@ -202,7 +223,38 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN hits h USING (rid) LEFT JOIN items t USING (rid)"""
 
 
+RANKED_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), item AS (
+  SELECT row_number() OVER () AS qid, item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), whole AS (
+  SELECT count(*)::BIGINT AS n, sum(len(words))::BIGINT AS length FROM doc WHERE len(words) > 0
+), asked AS (
+  SELECT qid, term, count(*)::BIGINT AS times FROM (SELECT qid, unnest(words) AS term FROM item) GROUP BY qid, term
+), held AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(words) AS term FROM doc)
+  WHERE term IN (SELECT term FROM asked) GROUP BY rid, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), whole
+), sized AS (
+  SELECT rid, doc_id, 25 + (75 * len(words)::BIGINT * n) // length AS m FROM doc, whole WHERE len(words) > 0
+), scores AS (
+  SELECT qid, rid, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sized USING (rid) GROUP BY qid, rid
+), ranked AS (
+  SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scores JOIN sized USING (rid) WHERE score > 0
+)
+SELECT item_id, rank, doc_id::BIGINT AS doc_id, score FROM ranked JOIN item USING (qid) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": QUALITY_SQL, "op7_chat_format": CHAT_SQL, "op10_decontamination": DECONTAMINATION_SQL,
+        "op11_ranked_search": RANKED_SQL,
     }

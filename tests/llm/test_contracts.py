@@ -33,7 +33,7 @@ def docs(spark):
 def test_names_and_guard():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline$", n)]
     numbers = sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in names
+    assert numbers == list(range(1, 14)) and "pipeline" in names
 
 
 def test_token_counts(spark, docs):
