@@ -19,6 +19,7 @@ tokens are aligned in the same way and not remembered. Other columns stay out.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -71,34 +72,41 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return found
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the tokens whose byte ranges overlap. Two ranges that overlap do so in one range
-    without an end inside, so there is one pair for each distinct end."""
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-
-
 class Windows(Remembered):
-    """Alignments by id tuples: (groups as text, number of groups, codes of the linked id pairs).
+    """Alignments by id tuples: (groups as text, number of groups, codes of the linked id pairs as int64 bytes).
 
     The key is the A ids, -1, the B ids. A pair's code is a * (B's vocabulary) + b.
     """
 
+    generation = 150_000
+
     def __init__(self, a: Vocabulary, b: Vocabulary):
         super().__init__()
-        self.a, self.b = a, b
-
-    def work_out(self, key: tuple[int, ...]) -> tuple[str, int, np.ndarray]:
-        split = key.index(-1)
-        a, b = np.array(key[:split], np.int64), np.array(key[split + 1 :], np.int64)
-        a_ends, b_ends = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        _, a_cuts, b_cuts = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for p, q in zip((a_cuts + 1).tolist(), (b_cuts + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, key[i:p]))}|{','.join(map(str, key[split + 1 + j : split + 1 + q]))}")
-            i, j = p, q
-        a_at, b_at = overlaps(a, b, a_ends, b_ends)
-        return ";".join(groups), len(groups), a[a_at] * len(self.b.content) + b[b_at]
+        self.a_lengths, self.b_lengths, self.b_size = a.lengths.tolist(), b.lengths.tolist(), len(b.content)
+
+    def work_out(self, key: tuple[int, ...]) -> tuple[str, int, bytes]:
+        """One step for each distinct end: two ranges overlap in one range without an end inside, so every
+        end closes one link."""
+        a_lengths, b_lengths, b_size = self.a_lengths, self.b_lengths, self.b_size
+        split, codes, groups = key.index(-1), array("q"), []
+        i = a_from = 0
+        j = b_from = split + 1
+        ahead = a_lengths[key[0]] - b_lengths[key[j]]
+        while True:
+            codes.append(key[i] * b_size + key[j])
+            if ahead < 0:
+                i += 1
+                ahead += a_lengths[key[i]]
+            elif ahead > 0:
+                j += 1
+                ahead -= b_lengths[key[j]]
+            else:
+                i, j = i + 1, j + 1
+                groups.append(f"{','.join(map(str, key[a_from:i]))}|{','.join(map(str, key[b_from:j]))}")
+                if i == split:
+                    return ";".join(groups), len(groups), codes.tobytes()
+                a_from, b_from = i, j
+                ahead = a_lengths[key[i]] - b_lengths[key[j]]
 
     def __missing__(self, key: tuple[int, ...]):
         return super().__missing__(key) if len(key) <= REMEMBERED_TOKENS else self.work_out(key)
@@ -139,7 +147,7 @@ class Aligner:
         windows = self.windows
         found = [windows[*a[p:q], -1, *b[r:s]] for p, q, r, s in zip(i, i[1:], j, j[1:], strict=False)]
         groups, numbers, codes = zip(*found, strict=True)
-        return Aligned(len(a), len(b), sum(numbers), ";".join(groups), np.concatenate(codes))
+        return Aligned(len(a), len(b), sum(numbers), ";".join(groups), np.frombuffer(b"".join(codes), np.int64))
 
 
 @lru_cache(maxsize=2)

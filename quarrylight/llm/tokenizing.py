@@ -43,6 +43,8 @@ class Remembered(dict):
     """What short pieces of text gave. Two generations bound it: when the young one is full it becomes
     the old one, so pieces that come often stay."""
 
+    generation = GENERATION
+
     def __init__(self):
         super().__init__()
         self.old: dict = {}
@@ -55,7 +57,7 @@ class Remembered(dict):
         if value is None:
             value = self.work_out(piece)
         if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= GENERATION:
+            if len(self) >= self.generation:
                 self.old = dict(self)
                 self.clear()
             self[piece] = value
