@@ -1,4 +1,10 @@
-"""Okapi BM25 over an inverted index kept as tables."""
+"""Okapi BM25 over an inverted index kept as tables, with blocks of documents that a search can skip.
+
+Documents are dealt into blocks of like length. The index keeps the highest weight of every token in every
+block, so the sum over a query's tokens bounds what any document of a block can score. A ranked search scores
+each query's most promising blocks first; a block whose bound stays below the n-th score found there cannot
+hold a document of the first n and is never read.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +13,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.config import BM25_B, BM25_EPSILON, BM25_K1, HOT_KEY_ROWS, RRF_CANDIDATES
+from quarrylight.config import BM25_B, BM25_EPSILON, BM25_K1, RRF_CANDIDATES
 from quarrylight.functions.text import tokenize
-from quarrylight.operators.skew import salts_for
 from quarrylight.sources.staging import stage
 
 # Scores are summed as whole numbers of 1e-9, so that the order of the sum cannot break a tie.
 SCORE_UNIT = 1e9
+#: Documents per block, on average, and ranges of document length that blocks are cut from.
+BLOCK_DOCS = 2048
+LENGTH_RANGES = 16
+#: Blocks of a query that are scored before any block is skipped.
+FIRST_BLOCKS = 2
 
 
 @dataclass
 class Bm25Index:
-    """postings(token, salt, doc_id, kind, department, status, tf, weight),
-    terms(token, df, idf, n_salts), docs(doc_id, dl)."""
+    """postings(token, block, doc_id, kind, department, status, tf, weight), terms(token, df, idf),
+    tops(token, block, top): a token's highest weight in a block; docs(doc_id, dl)."""
 
     postings: DataFrame
     terms: DataFrame
+    tops: DataFrame
     docs: DataFrame
 
 
@@ -43,16 +54,30 @@ def term_statistics(frequencies: DataFrame, lengths: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> Bm25Index:
+def block_of(lengths: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """lengths(doc_id, dl) with `block`: a range of lengths, cut into as many blocks as its share of the
+    documents asks for. Which documents share a block changes what is skipped, never a result."""
+    n, cuts = lengths.agg(
+        F.count("*"), F.percentile_approx("dl", [k / LENGTH_RANGES for k in range(1, LENGTH_RANGES)], 1000)
+    ).first()
+    ranges = max(1, min(LENGTH_RANGES, n // block_docs))
+    each = max(1, -(-n // (ranges * block_docs)))
+    bounds = sorted({cuts[k * LENGTH_RANGES // ranges - 1] for k in range(1, ranges)}) if cuts else []
+    place = sum(((F.col("dl") > c).cast("long") for c in bounds), F.lit(0).cast("long"))
+    return lengths.withColumn("block", place * each + F.pmod(F.xxhash64("doc_id"), F.lit(each)))
+
+
+def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Bm25Index:
     """Index docs(doc_id, kind, department, status, bm25_text); every table is written once.
 
     A posting carries the document's filter columns and its finished term weight, so a search
-    joins the index once and filters before it aggregates. Postings of a frequent token are
-    spread over salts by document.
+    joins the index once and filters before it aggregates. Postings are joined by token and block, so a
+    frequent token is as many keys as it has blocks.
     """
-    counted = docs.select(
-        "doc_id", "kind", "department", "status",
-        F.explode(tokenize(F.col("bm25_text"))).alias("token"),
+    # Dealt out by document first: tokenising is spread over all tasks, and counting needs no other shuffle.
+    dealt = docs.select("doc_id", "kind", "department", "status", "bm25_text").repartition("doc_id")
+    counted = dealt.select(
+        "doc_id", "kind", "department", "status", F.explode(tokenize(F.col("bm25_text"))).alias("token")
     ).groupBy("doc_id", "kind", "department", "status", "token").agg(
         F.count("*").cast("int").alias("tf")
     )
@@ -63,22 +88,20 @@ def build_index(docs: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> Bm25Index:
         ).select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl")),
         "lengths",
     )
-    terms = stage(
-        term_statistics(frequencies, lengths).withColumn("n_salts", salts_for(F.col("df"), hot_rows)),
-        "terms",
-    )
+    terms = stage(term_statistics(frequencies, lengths), "terms")
     average = lengths.agg(F.avg("dl")).scalar()
     norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / average)
-    postings = (
-        frequencies.join(lengths, "doc_id")
-        .join(terms.select("token", "idf", "n_salts"), "token")
+    postings = stage(
+        frequencies.join(block_of(lengths, block_docs), "doc_id")
+        .join(terms.select("token", "idf"), "token")
         .select(
-            "token", F.pmod(F.xxhash64("doc_id"), F.col("n_salts")).cast("int").alias("salt"),
-            "doc_id", "kind", "department", "status", "tf",
+            "token", "block", "doc_id", "kind", "department", "status", "tf",
             (F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + norm)).alias("weight"),
-        )
+        ),
+        "postings",
     )
-    return Bm25Index(stage(postings, "postings"), terms, lengths)
+    tops = stage(postings.groupBy("token", "block").agg(F.max("weight").alias("top")), "tops")
+    return Bm25Index(postings, terms, tops, lengths)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -103,30 +126,73 @@ def allowed(query: str, doc: str):
     )
 
 
+def _score(terms: DataFrame, index: Bm25Index) -> DataFrame:
+    """(query_id, block, doc_id, score) from query terms that are dealt to blocks (a `block` column)."""
+    same_list = (F.col("q.token") == F.col("p.token")) & (F.col("q.block") == F.col("p.block"))
+    contribution = F.round(F.col("qtf") * F.col("weight") * SCORE_UNIT).cast("bigint")
+    met = terms.alias("q").join(index.postings.alias("p"), same_list & allowed("q", "p"))
+    return met.groupBy("query_id", F.col("p.block").alias("block"), "doc_id").agg(
+        (F.sum(contribution) / F.lit(SCORE_UNIT)).alias("score")
+    )
+
+
 def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
-    """(query_id, doc_id, score) for documents sharing a token and passing the filters.
+    """(query_id, doc_id, score) for every document sharing a token and passing the filters.
 
-    Queries are joined to their terms first; a frequent term is copied once per salt, so its
-    postings are met in as many tasks. Partial sums are taken before the shuffle on the pair.
+    Queries meet the blocks of their terms first, so a frequent token's postings are met in as many
+    tasks as it has blocks. Partial sums are taken before the shuffle on the pair.
     """
-    terms = (
-        query_terms(queries).join(index.terms.select("token", "n_salts"), "token")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
-    )
-    contribution = F.round(F.col("qtf") * F.col("weight") * SCORE_UNIT).cast("bigint")
-    same_term = (F.col("q.token") == F.col("p.token")) & (F.col("q.salt") == F.col("p.salt"))
-    return (
-        terms.alias("q").join(index.postings.alias("p"), same_term & allowed("q", "p"))
-        .groupBy("query_id", "doc_id")
-        .agg((F.sum(contribution) / F.lit(SCORE_UNIT)).alias("score"))
+    terms = query_terms(queries).join(index.tops.select("token", "block"), "token")
+    return _score(terms, index).drop("block")
+
+
+def block_bounds(terms: DataFrame, index: Bm25Index) -> DataFrame:
+    """(query_id, block, bound): no document of the block scores more for the query.
+
+    A contribution is rounded to a whole SCORE_UNIT, so each token's bound is rounded up to one.
+    """
+    above = F.ceil(F.col("qtf") * F.greatest("top", F.lit(0.0)) * SCORE_UNIT) + 1
+    return terms.join(index.tops, "token").groupBy("query_id", "block").agg(
+        (F.sum(above) / F.lit(SCORE_UNIT)).alias("bound")
     )
 
 
-def rank_bm25(queries: DataFrame, index: Bm25Index, n: int = RRF_CANDIDATES) -> DataFrame:
-    """The best n documents per query by (score desc, doc_id)."""
+def _best_of_blocks(scores: DataFrame, n: int) -> DataFrame:
+    """At most n rows of every (query, block): the only ones that can rank among the query's first n."""
+    order = Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_place")
+
+
+def rank_bm25(
+    queries: DataFrame, index: Bm25Index, n: int = RRF_CANDIDATES, first_blocks: int = FIRST_BLOCKS
+) -> DataFrame:
+    """The best n documents per query by (score desc, doc_id): (query_id, doc_id, score, rank).
+
+    Two rounds. Each query's `first_blocks` blocks with the highest bounds are scored; its n-th score there
+    is a floor under the final n-th score. Of the other blocks only those whose bound reaches the floor are
+    scored. A (query, block) hands on n rows at most. The result is that of ranking all scores.
+    """
+    first, rest = ranked_rounds(queries, index, n, first_blocks)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (
-        bm25_scores(queries, index)
+        first.unionByName(rest).drop("block")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
     )
+
+
+def ranked_rounds(queries: DataFrame, index: Bm25Index, n: int, first_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """What the two rounds of rank_bm25 find: (query_id, block, doc_id, score), n rows a block at most."""
+    terms = stage(query_terms(queries), "query-terms")
+    bounds = block_bounds(terms, index)
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    placed = stage(bounds.withColumn("place", F.row_number().over(by_bound)), "block-bounds")
+    chosen = placed.where(F.col("place") <= first_blocks).select("query_id", "block")
+    first = stage(_best_of_blocks(_score(terms.join(chosen, "query_id"), index), n), "first-blocks")
+    in_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    floors = first.withColumn("_place", F.row_number().over(in_query)).where(F.col("_place") == n).select(
+        "query_id", F.col("score").alias("floor")
+    )
+    left = placed.where(F.col("place") > first_blocks).join(floors, "query_id", "left")
+    reaching = left.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("query_id", "block")
+    return first, _best_of_blocks(_score(terms.join(reaching, "query_id"), index), n)

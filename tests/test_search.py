@@ -1,10 +1,15 @@
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quarrylight.operators import bench, dense, search
-from quarrylight.operators.bm25 import bm25_scores, build_index, rank_bm25
+from quarrylight.operators.bm25 import (
+    block_bounds, block_of, bm25_scores, build_index, query_terms, rank_bm25, ranked_rounds,
+)
 
 DOC = "doc_id string, kind string, bm25_text string, dense_text string, department string, status string, exact_names array<string>"
 QUERY = "query_id string, text string, kinds array<string>, department string, include_deprecated boolean, top_k int"
@@ -40,14 +45,62 @@ def test_frequent_words_get_the_floor(spark):
     assert idf["a1"] == pytest.approx(0.25 * (3 * rare + common) / 4)
 
 
-def test_ties_go_to_the_lower_id_and_salts_change_nothing(spark):
+def test_ties_go_to_the_lower_id_and_blocks_change_nothing(spark):
     frame = plain(spark, *["same words here"] * 6, "other")
     whole = rank_bm25(ask(spark, "same"), build_index(frame), 4).orderBy("rank").collect()
-    split = rank_bm25(ask(spark, "same"), build_index(frame, hot_rows=2), 4).orderBy("rank").collect()
+    split = rank_bm25(ask(spark, "same"), build_index(frame, block_docs=2), 4).orderBy("rank").collect()
     assert [r["doc_id"] for r in whole] == ["d0", "d1", "d2", "d3"]
     assert whole == split
 
 
+def many_docs(spark, n=400):
+    """Zipf words, lengths of 1 to 60, kinds and departments; equal texts, so that scores tie."""
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(150)]
+    weights = [1 / (k + 1) for k in range(150)]
+    rows = []
+    for i in range(n):
+        text = " ".join(rnd.choices(words, weights, k=rnd.randint(1, 60))) if i % 5 else "w3 w40 w90"
+        rows.append((f"d{i:04d}", ("report", "table", "metric")[i % 3], text, "ab"[i % 2], ("deprecated", None)[i % 4 > 0], []))
+    return docs(spark, rows)
+
+
+def many_queries(spark, n):
+    rnd = random.Random(9)
+    rows = [
+        (f"q{i}", " ".join(f"w{int(150 * rnd.random() ** 2)}" for _ in range(rnd.randint(1, 6))),
+         ["report"] if i % 4 == 0 else None, "a" if i % 5 == 0 else None, i % 3 > 0, 5)
+        for i in range(n)
+    ] + [("none", "absent words", None, None, True, 5), ("rare", "w149 w148 w3", None, None, True, 5)]
+    return spark.createDataFrame(rows, QUERY)
+
+
+def ranked_from_all_scores(queries, index, n):
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    ranked = bm25_scores(queries, index).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in ranked.collect())
+
+
+@pytest.mark.parametrize("block_docs,first,n", [(10, 2, 5), (10, 1, 50), (1000, 2, 5), (3, 3, 1)])
+def test_ranking_by_blocks_equals_ranking_all_scores(spark, block_docs, first, n):
+    index, queries = build_index(many_docs(spark), block_docs=block_docs), many_queries(spark, 60)
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in rank_bm25(queries, index, n, first).collect())
+    assert got == ranked_from_all_scores(queries, index, n)
+
+
+def test_blocks_below_the_nth_score_are_not_read(spark):
+    """Thousands of queries: a (query, block) hands on n rows at most, and most blocks are skipped."""
+    index, queries, n = build_index(many_docs(spark), block_docs=10), many_queries(spark, 3000), 3
+    first, rest = ranked_rounds(queries, index, n, 2)
+    both = first.unionByName(rest)
+    assert both.groupBy("query_id", "block").count().agg(F.max("count")).first()[0] <= n
+    bounds = block_bounds(query_terms(queries), index)
+    scored = bm25_scores(queries, index).join(block_of(index.docs, 10).select("doc_id", "block"), "doc_id")
+    highest = scored.groupBy("query_id", "block").agg(F.max("score").alias("highest"))
+    assert highest.join(bounds, ["query_id", "block"]).where("highest > bound").count() == 0
+    assert both.select("query_id", "block").distinct().count() * 4 < bounds.count() * 3
+
+
 @pytest.mark.parametrize("lists,expected", [
     ((["A", "B", "C"], ["B", "D", "A"]), ["B", "A", "D", "C"]), ((["Z", "A"], ["A", "Z"]), ["A", "Z"]),
 ])
