@@ -16,8 +16,9 @@ escapes: `\\` is written `\\\\` and `<|` is written `<\\|`, so no mark can appea
 away the backslashes gives the text back. A line end in a role is written as a backslash before it.
 
 One conversation is one output row, so it has to fit a task; its events may lie anywhere. Nulls: a null
-text or role is empty, a null kind is `message`, a null sequence number sorts first, and rows with a null
-conversation id are one conversation with id null. Equal sequence numbers are ordered by kind and text.
+text or role is empty, a null kind is `message`, a null sequence number sorts first (also before a regenerate
+event), and rows with a null conversation id are one conversation with id null. Equal sequence numbers are
+ordered by kind and text; an event that the log repeats (same sequence number, kind and text) counts once.
 Empty tables give empty results. Other columns are ignored.
 """
 
@@ -50,7 +51,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     (conv_id, seq, kind, message_id, role, text)."""
     resets = F.col("kind") != "delta"
     tidy = events.select(
-        "conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "message_id",
+        "conv_id", F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63))).alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), "message_id",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     # All events of a conversation go to one task once; both steps below use that distribution.
@@ -61,7 +62,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.max(F.when(resets, place)).alias("reset"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated"),
         F.min_by("role", F.struct((F.col("role") == ""), "seq", "role")).alias("role"),
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))).alias("parts"),
+        F.array_sort(F.collect_set(F.struct("seq", "kind", "text"))).alias("parts"),
     )
     since = F.filter(
         "parts", lambda p: F.col("reset").isNull() | (p >= F.col("reset"))
