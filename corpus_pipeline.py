@@ -24,14 +24,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and one row of it."""
-    found = near_duplicates(docs, Link(words=5, percent=80))
-    # Documents without shingles are in no group and stay.
-    gone = found.where("not kept").select("doc_id").distinct()
-    one = docs.join(gone, "doc_id", "left_anti")
-    repeated = one.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    single = one.join(repeated, "doc_id", "left_anti")
-    several = one.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the one with the smallest id (nulls last).
+
+    Rows are told apart by id and text, so of two texts that share an id only a duplicate goes. Of equal rows
+    one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed.select("__key", "text"), Link(words=5, percent=80), id_column="__key")
+    members = found.select("__key", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")
+    first = keyed.select("__key", "doc_id").distinct().join(members, "__key").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = keyed.join(first.select(F.col("first")["__key"].alias("__key")), "__key", "left_semi")
+    repeated = keyed.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
+    single = kept.join(repeated, "__key", "left_anti")
+    several = kept.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
     return single.unionByName(several).select(*docs.columns)
 
 
