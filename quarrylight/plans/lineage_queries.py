@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.operators import impact, lineage, ownership
+from quarrylight.operators.reach_bitmaps import reach_bitmaps, reach_counts
 from quarrylight.plans.bindings import catalog
 from quarrylight.plans.registry import query
 from quarrylight.sources.catalog import assets
@@ -73,11 +74,30 @@ FROM {reports} r JOIN (SELECT DISTINCT e.report_id, t.seed FROM {redges} e
   JOIN {treach0} t ON t.node = e.table_id) t USING (report_id) GROUP BY 1""")
 def ancestors(spark, sf):
     cat = catalog(spark, sf)
-    back = lineage.directed_edges(cat, "upstream")  # also walked by trace_lineage
-    reached = lineage.reach(back, cat.reports.select(F.col("report_id").alias("seed")))
-    return reached.groupBy("seed").agg(
-        F.count("*").alias("ancestors"), F.min("node").alias("first_id"),
-        F.max("node").alias("last_id"),
+    reports = cat.reports.select(F.col("report_id").alias("seed"))
+    counts = reach_counts(_bitmaps(cat, "upstream")).join(reports, "seed", "left_semi")
+    return counts.select("seed", F.col("n").alias("ancestors"), "first_id", "last_id")
+
+
+def _bitmaps(cat, direction):
+    """What every asset reaches, prepared once per session; the kind of a node is its type."""
+    key = f"bitmaps_{direction}"
+    if key not in cat.prepared:
+        edges = lineage.lineage_edges(cat).select("src", "dst")
+        kinds = lineage.lineage_nodes(cat).select("id", F.col("type").alias("kind"))
+        cat.prepared[key] = reach_bitmaps(lineage.reversed_edges(edges) if direction == "upstream" else edges, kinds)
+    return cat.prepared[key]
+
+
+@query("impact_sizes", """
+SELECT seed AS table_id, type, count(*)::BIGINT AS assets, min(id) AS first_id, max(id) AS last_id
+FROM (SELECT seed, 'table' AS type, node AS id FROM {treach}
+  UNION ALL SELECT seed, 'report', report_id FROM {ireports}
+  UNION ALL SELECT seed, 'metric', metric_id FROM {imetrics}) x GROUP BY ALL""")
+def impact_sizes(spark, sf):
+    """How much a change of each table affects, by type: counted in bitmaps, without a pair table."""
+    return reach_counts(_bitmaps(catalog(spark, sf), "downstream")).select(
+        F.col("seed").alias("table_id"), F.col("kind").alias("type"), F.col("n").alias("assets"), "first_id", "last_id"
     )
 
 
