@@ -165,24 +165,26 @@ def calls(spark, sf):
     )
 
 
+def last_event(spark, sf):
+    """The time of the last event, behind which a finished log is closed."""
+    return source(spark, sf, "events").agg(F.max("ts")).first()[0]
+
+
 @query("stream_quota_by_day", """
-SELECT (h AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles')::DATE AS day, sum(requests)::BIGINT AS requests,
-  sum(tokens)::BIGINT AS tokens FROM (
-  SELECT date_trunc('hour', ts) AS h, sum(1 + event_id % 3) AS requests, sum(100 + event_id % 900) AS tokens
-  FROM events GROUP BY 1) x
-WHERE h + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY 1""")
+SELECT (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles')::DATE AS day, sum(1 + event_id % 3)::BIGINT AS requests,
+  sum(100 + event_id % 900)::BIGINT AS tokens FROM events GROUP BY 1""")
 def stream_quota_by_day(spark, sf):
-    hours = streams.drain(streams.hourly_usage(calls(spark, sf)), "quota")
-    return streams.usage_by_quota_day(hours)
+    return streams.drain(
+        calls(spark, sf), lambda rows: streams.usage_by_quota_day(streams.hourly_usage(rows)), "quota", last_event(spark, sf)
+    )
 
 
 @query("stream_minute_rate", """
 SELECT s AS start, count(*)::BIGINT AS calls, sum(tokens)::BIGINT AS tokens, count(*) > 2 OR sum(tokens) > 1500 AS over_limit
 FROM (SELECT 100 + event_id % 900 AS tokens, unnest(range(6)) AS i, epoch_us(ts) // 10000000 AS slot, ts FROM events) x,
-  LATERAL (SELECT make_timestamp((slot - i) * 10000000) AS s) y
-WHERE s + INTERVAL 60 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE FROM events) GROUP BY 1""")
+  LATERAL (SELECT make_timestamp((slot - i) * 10000000) AS s) y GROUP BY 1""")
 def stream_minute_rate(spark, sf):
-    rates = streams.drain(streams.minute_rate(calls(spark, sf), 2, 1500), "rate")
+    rates = streams.drain(calls(spark, sf), lambda rows: streams.minute_rate(rows, 2, 1500), "rate", last_event(spark, sf))
     return rates.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -193,7 +195,7 @@ def stream_answers_dedup(spark, sf):
     keyed = calls(spark, sf).selectExpr(
         "ts", "concat('A', user_id % 6) AS config", "1 + event_id % 3 AS repeat", "event_id div 18 AS item"
     )
-    kept = streams.drain(streams.first_answers(keyed, ["config", "repeat", "item"], "60 days"), "first")
+    kept = streams.drain(keyed, lambda rows: streams.first_answers(rows, ["config", "repeat", "item"], "60 days"), "first")
     return kept.select("config", "repeat", "item", F.lit(True).alias("kept"))
 
 
@@ -201,14 +203,15 @@ def stream_answers_dedup(spark, sf):
 SELECT day, config, category, n, round(sum(r) OVER w / sum(n) OVER w, 6) AS accuracy FROM (
   SELECT ts::DATE AS day, 'A' || (user_id % 6) AS config, event_type AS category, count(*)::BIGINT AS n,
     sum((value >= 30)::INT) AS r FROM events GROUP BY ALL) x
-WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
 WINDOW w AS (PARTITION BY config, category ORDER BY day)""")
 def stream_running_accuracy(spark, sf):
     answered = calls(spark, sf).selectExpr(
         "ts", "concat('A', user_id % 6) AS config", "event_type AS category", "value >= 30 AS correct"
     )
-    days = streams.drain(streams.accuracy_by_day(answered), "accuracy")
-    return streams.running_accuracy(days).select(
+    base = f"{staging_dir(spark)}/streams/accuracy-{uuid.uuid4().hex}"
+    days = streams.Upserts(f"{base}/days", ["day", "config", "category"])
+    streams.keep_updated(streams.accuracy_by_day(answered), days, f"{base}/checkpoint")
+    return streams.running_accuracy(days.read(spark)).select(
         F.to_date("day").alias("day"), "config", "category", "n", F.round("accuracy", 6).alias("accuracy")
     )
 
@@ -232,7 +235,7 @@ def _stops(df):
 
 @query("stream_failure_streak", _STOPS)
 def stream_failure_streak(spark, sf):
-    return _stops(streams.drain(streams.failure_stops(_attempts(calls(spark, sf))), "streak"))
+    return _stops(streams.drain(_attempts(calls(spark, sf)), streams.failure_stops, "streak"))
 
 
 @query("failure_streak_batch", _STOPS)

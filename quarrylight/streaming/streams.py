@@ -1,22 +1,28 @@
 """Live views of append-only logs: usage, rates, first answers, accuracy, failure streaks.
 
-Every stateful step has a watermark. Results go to Parquet files in append mode, so a window is
-written once, when the watermark has passed its end; the newest windows stay open.
+Every stateful step has a watermark. Results in append mode go to Parquet files, so a window is written once,
+when the watermark has passed its end. `drain` ends a log with closing rows, far enough behind its last event
+that the newest windows are written too; a stream that goes on has no such rows and keeps them open.
+Results in update mode go to a table by key (`Upserts`), which a replayed trigger does not change.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.scalars import quota_day
-from quarrylight.sources.staging import staging_dir
+from quarrylight.functions.scalars import QUOTA_ZONE
+from quarrylight.sources.staging import stage, staging_dir
 
 STREAK = 3
+#: Days between the last event and the row that closes a finished log; more than any window and delay.
+CLOSING = 400
 
 
 def follow(spark: SparkSession, directory: str, name: str, ts: str) -> DataFrame:
@@ -31,31 +37,93 @@ def follow(spark: SparkSession, directory: str, name: str, ts: str) -> DataFrame
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything available and return what it wrote."""
-    spark = stream.sparkSession
+def drain(
+    source: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str, close_after: datetime | None = None, ts: str = "ts"
+) -> DataFrame:
+    """Run transform(source) over everything available and return what it wrote.
+
+    With `close_after`, a time no event of the source lies behind, the run is ended by a closing row: a second
+    run from the same checkpoint reads one row of nulls CLOSING days later, which moves the watermark past every
+    open window. The row's own window stays open, so it is never written.
+    """
+    spark = source.sparkSession
     base = f"{staging_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    closing = f"{base}/closing"
+    spark.createDataFrame([], source.schema).coalesce(1).write.parquet(closing)
+
+    def run() -> None:
+        rows = source.unionByName(spark.readStream.schema(source.schema).parquet(closing)) if close_after else source
+        written = transform(rows).writeStream.format("parquet").outputMode("append")
+        query = written.option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    if close_after:
+        last = F.lit(close_after + timedelta(days=CLOSING)).cast("timestamp")
+        values = [(last if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema]
+        spark.range(1).select(*values).coalesce(1).write.mode("append").parquet(closing)
+        run()
+    return spark.read.schema(transform(source).schema).parquet(f"{base}/out")
+
+
+@dataclass
+class Upserts:
+    """A table by key that a stream in update mode keeps: every trigger's rows are one partition.
+
+    A trigger writes the partition of its number anew, so a trigger that is replayed after a failure changes
+    nothing. A key's row is that of the last trigger that held it. `compact` folds partitions into one.
+    """
+
+    path: str
+    keys: list[str]
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        stored = spark.read.option("basePath", self.path).parquet(self.path)
+        values = [c for c in stored.columns if c not in (*self.keys, "batch")]
+        latest = stored.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("_latest"))
+        return latest.select(*self.keys, "_latest.*")
+
+    def compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Fold everything up to a finished trigger into its partition; the older ones are left empty."""
+        stored = spark.read.option("basePath", self.path).parquet(self.path).where(F.col("batch") <= batch_id)
+        numbers = [r.batch for r in stored.select("batch").distinct().collect()]
+        folded = stage(Upserts.read(self, spark).join(stored.select(*self.keys).distinct(), self.keys, "left_semi"), "folded")
+        self.write(folded, batch_id)
+        for number in numbers:
+            if number != batch_id:
+                self.write(folded.limit(0), number)
+
+
+def keep_updated(stream: DataFrame, table: Upserts, checkpoint: str) -> None:
+    """Run a stream in update mode over everything available into a table by key."""
     query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).start()
+        stream.writeStream.outputMode("update").foreachBatch(lambda rows, number: table.write(rows, number))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def hourly_usage(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """calls(ts, requests, tokens) -> requests and tokens per finished hour."""
-    return calls.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w")).agg(
+def hourly_usage(calls: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """calls(ts, requests, tokens) -> usage per finished hour of the provider's clock: w, requests, tokens.
+
+    The event time is the provider's local time, so that later windows start at its midnight. When clocks go
+    back an hour repeats; the delay covers it.
+    """
+    local = calls.withColumn("local", F.from_utc_timestamp("ts", QUOTA_ZONE)).withWatermark("local", delay)
+    return local.groupBy(F.window("local", "1 hour").alias("w")).agg(
         F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens")
-    ).select(F.col("w.start").alias("hour"), "requests", "tokens")
+    )
 
 
 def usage_by_quota_day(hours: DataFrame) -> DataFrame:
-    """Finished hours summed by the provider's day; its days start on a full hour."""
-    return hours.groupBy(quota_day(F.col("hour")).alias("day")).agg(
+    """hourly_usage summed by the provider's day: a second window over the finished hours of the same stream."""
+    days = hours.groupBy(F.window(F.window_time("w"), "1 day").alias("d")).agg(
         F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens")
     )
+    return days.select(F.to_date("d.start").alias("day"), "requests", "tokens")
 
 
 def minute_rate(
@@ -76,7 +144,7 @@ def first_answers(answers: DataFrame, keys: list[str], delay: str) -> DataFrame:
 
 
 def accuracy_by_day(answers: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Answers and correct answers per finished day, configuration and category."""
+    """Answers and correct answers per day, configuration and category."""
     return answers.withWatermark("ts", delay).groupBy(
         F.window("ts", "1 day").alias("w"), "config", "category"
     ).agg(
