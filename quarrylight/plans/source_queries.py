@@ -235,7 +235,8 @@ def _stops(df):
 
 @query("stream_failure_streak", _STOPS)
 def stream_failure_streak(spark, sf):
-    return _stops(streams.drain(_attempts(calls(spark, sf)), streams.failure_stops, "streak"))
+    with streams.rocksdb_state(spark):
+        return _stops(streams.drain(_attempts(calls(spark, sf)), streams.failure_stops, "streak", last_event(spark, sf)))
 
 
 @query("failure_streak_batch", _STOPS)

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarrylight.functions.scalars import QUOTA_ZONE
 from quarrylight.sources.staging import stage, staging_dir
@@ -23,6 +25,8 @@ from quarrylight.sources.staging import stage, staging_dir
 STREAK = 3
 #: Days between the last event and the row that closes a finished log; more than any window and delay.
 CLOSING = 400
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def follow(spark: SparkSession, directory: str, name: str, ts: str) -> DataFrame:
@@ -163,32 +167,95 @@ def running_accuracy(days: DataFrame) -> DataFrame:
 
 
 STREAK_OUTPUT = "run string, ts timestamp, streak int"
+EPOCH = pd.Timestamp(0, tz="UTC")
 
 
-def failure_stops(answers: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """answers(run, ts, failed) -> one row whenever a run fails the third time in a row.
+class FailureStreaks(StatefulProcessor):
+    """Failures in a row per run, in event time.
 
-    A success resets the count, which is kept as state between triggers. Within a trigger a run's
-    answers are put in time order; the trigger's file limit bounds how many that are.
+    State: a list of open answers, those the watermark has not passed, and the streak of the closed ones. A timer
+    stands at the earliest open answer. When it fires, every answer up to the watermark is counted in time order
+    (of equal times successes first), so answers that came late, in any trigger, stand where they belong. A run
+    without open answers and without a streak keeps no state; a streak with no answer for `idle` is
+    forgotten, if that is given.
     """
 
-    def count(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat([b[["ts", "failed"]] for b in batches]).sort_values("ts", kind="stable")
-        stops = []
-        for ts, failed in zip(rows["ts"], rows["failed"], strict=True):
-            streak = streak + 1 if failed else 0
+    def __init__(self, idle: timedelta | None = None):
+        self.idle_ms = None if idle is None else int(idle.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "at long, failed boolean")
+        self.closed = handle.getValueState("closed", "streak int, at long")
+
+    def wait(self, micros: int, extra_ms: int = 0) -> None:
+        self.handle.registerTimer(micros // 1000 + 1 + extra_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            times = pd.to_datetime(batch["ts"], utc=True)
+            at = ((times - EPOCH) // pd.Timedelta(microseconds=1)).astype("int64").tolist()
+            failed = [None if pd.isna(f) else bool(f) for f in batch["failed"]]
+            if at:
+                self.open.appendList(list(zip(at, failed, strict=True)))
+                earliest = min([*at, *([earliest] if earliest is not None else [])])
+        if earliest is not None:
+            self.wait(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        streak, last = self.closed.get() if self.closed.exists() else (0, None)
+        answers = sorted(((at, failed) for at, failed in self.open.get()), key=lambda x: (x[0], x[1] is not False, x[1] or False))
+        ready = [x for x in answers if x[0] < passed]
+        rest, stops = answers[len(ready) :], []
+        for at, failed in ready:
+            streak, last = (streak + 1 if failed else 0), at
             if streak == STREAK:
-                stops.append(ts)
-        state.update((streak,))
-        yield pd.DataFrame({"run": key[0], "ts": stops, "streak": STREAK})
+                stops.append(at)
+        if ready:
+            self.open.put(rest) if rest else self.open.clear()
+        if rest:
+            self.wait(rest[0][0])
+        forgotten = self.idle_ms is not None and last is not None and last // 1000 + self.idle_ms < passed // 1000
+        if streak == 0 or (forgotten and not rest):
+            self.closed.clear()
+        else:
+            self.closed.update((streak, last))
+            if ready and self.idle_ms is not None:
+                self.wait(last, self.idle_ms)
+        if stops:
+            times = EPOCH + pd.to_timedelta(stops, unit="us")
+            yield pd.DataFrame({"run": [key[0]] * len(stops), "ts": times, "streak": [STREAK] * len(stops)})
+
+    def close(self) -> None:
+        pass
+
+
+def failure_stops(answers: DataFrame, delay: str = "1 hour", idle: timedelta | None = None) -> DataFrame:
+    """answers(run, ts, failed) -> one row whenever a run fails the third time in a row.
 
+    Answers are counted once the watermark has passed them, so rows up to `delay` late give the same stops as
+    `failure_stops_batch` on the finished log. Needs the RocksDB state store (`rocksdb_state`).
+    """
     watched = answers.withWatermark("ts", delay).select("run", "ts", "failed")
-    return watched.groupBy("run").applyInPandasWithState(
-        count, STREAK_OUTPUT, "streak int", "append", "NoTimeout"
+    return watched.groupBy("run").transformWithStateInPandas(
+        FailureStreaks(idle), outputStructType=STREAK_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's setting is put back afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
 def failure_stops_batch(answers: DataFrame, slot: str = "HOUR") -> DataFrame:
     """The same stops from a finished log.
 

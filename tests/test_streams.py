@@ -104,3 +104,44 @@ def test_accuracy_table_by_key_survives_replays(spark, folder):
         n, right = n + r.n, right + r.right
         assert r.accuracy == pytest.approx(right / n)
     assert n == sum(v[0] for k, v in wanted.items() if k[1] == "A1")
+
+
+def attempts(n, seed):
+    rnd = random.Random(seed)
+    return [(START + timedelta(seconds=37 * k + rnd.randint(0, 30)), f"r{rnd.randint(0, 2)}", "c", rnd.random() < 0.4, 1, 1) for k in range(n)]
+
+
+def stops_of(df):
+    return sorted((r.run, r.ts) for r in df.select("run", F.col("ts").cast("timestamp_ntz").alias("ts")).collect())
+
+
+def test_late_answers_give_the_stops_of_the_finished_log(spark, folder):
+    """Answers reach the stream out of order, up to 50 minutes late and in several triggers."""
+    rows, rnd = attempts(300, 3), random.Random(5)
+    arrival = sorted(rows, key=lambda r: r[0] + timedelta(minutes=rnd.randint(0, 50)))
+    for k in range(0, 300, 75):
+        put(spark, folder, arrival[k : k + 75])
+    named = "config AS run", "ts", "NOT correct AS failed"
+    with streams.rocksdb_state(spark):
+        got = streams.drain(follow(spark, folder).selectExpr(*named), streams.failure_stops, "streaks", max(r[0] for r in rows))
+    log = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp")).selectExpr(*named)
+    expected = stops_of(streams.failure_stops_batch(log))
+    assert stops_of(got) == expected and len(expected) > 5
+    assert spark.conf.get(streams.STATE_STORE, None) != streams.ROCKSDB
+
+
+def test_an_idle_streak_is_forgotten_when_asked(spark, folder):
+    """Two failures, ten days of silence, one more: a stop without idle time, none with one of two days."""
+    rows = [(START + timedelta(days=d, minutes=m), "r0", "c", False, 1, 1) for d, m in ((0, 0), (0, 1), (10, 0))]
+    other = [(START + timedelta(days=d), "r1", "c", True, 1, 1) for d in range(11)]
+    for batch in (rows[:2], other[:6], other[6:], rows[2:]):
+        put(spark, folder, batch)
+    named = "config AS run", "ts", "NOT correct AS failed"
+    found = []
+    for idle in (None, timedelta(days=2)):
+        with streams.rocksdb_state(spark):
+            kept = streams.drain(
+                follow(spark, folder).selectExpr(*named), lambda r: streams.failure_stops(r, "1 hour", idle), "idle", rows[2][0]
+            )
+        found.append(stops_of(kept))
+    assert found == [[("r0", rows[2][0])], []]
