@@ -19,6 +19,7 @@ tokens are aligned in the same way and not remembered. Other columns stay out.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,8 +43,6 @@ from quarrylight.sources.staging import stage
 BROADCAST_PAIRS = 4_000_000
 REMEMBERED_TOKENS = 64
 COUNTED_AT_ONCE = 2_000_000
-#: How window keys hold ids.
-IDS = np.dtype("=u4")
 ALIGNED_SCHEMA = (
     "part int, position long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 )
@@ -75,28 +74,35 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
 
 
 class Windows(Remembered):
-    """Alignments by id tuples: (groups as text, number of groups, codes of the linked id pairs as int64 bytes).
+    """Alignments by id tuples: (groups as text, codes of the linked id pairs as int64 bytes).
 
-    The key is the pair (A ids, B ids), each packed by `IDS`: small to keep and quick to cut and compare.
-    A pair's code is a * (B's vocabulary) + b.
+    A key is a window's A ids, a mark no id has, and its B ids, packed by `ids` into one run of bytes, which is
+    small to keep and quick to compare. A pair's code is a * (B's vocabulary) + b.
     """
 
-    generation = 250_000
+    generation = 500_000
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         super().__init__()
         self.a_lengths, self.b_lengths, self.b_size = a.lengths.tolist(), b.lengths.tolist(), len(b.content)
+        self.ids = np.dtype("=u2" if max(len(a.content), len(b.content)) < (1 << 16) - 1 else "=u4")
+        self.mark = (1 << 8 * self.ids.itemsize) - 1
+        self.between = np.array([self.mark], self.ids).tobytes()
+        self.kept_bytes = REMEMBERED_TOKENS * self.ids.itemsize
+        self.a_names, self.b_names = (list(map(str, range(len(v.content)))) for v in (a, b))
 
-    def work_out(self, key: tuple[bytes, bytes]) -> tuple[str, int, bytes]:
+    def work_out(self, key: bytes) -> tuple[str, bytes]:
         """One step for each distinct end: two ranges overlap in one range without an end inside, so every
         end closes one link."""
         a_lengths, b_lengths, b_size = self.a_lengths, self.b_lengths, self.b_size
-        a, b = (memoryview(ids).cast(IDS.char).tolist() for ids in key)
-        a_names, b_names = list(map(str, a)), list(map(str, b))
+        both = memoryview(key).cast(self.ids.char).tolist()
+        split = both.index(self.mark)
+        a, b = both[:split], both[split + 1 :]
+        a_names, b_names = [self.a_names[x] for x in a], [self.b_names[x] for x in b]
         if len(a) == 1 or len(b) == 1:
             # One token spans the window: one group, linked with every token of the other side.
             codes = [x * b_size + y for x in a for y in b]
-            return f"{','.join(a_names)}|{','.join(b_names)}", 1, pack(f"{len(codes)}q", *codes)
+            return f"{','.join(a_names)}|{','.join(b_names)}", pack(f"{len(codes)}q", *codes)
         codes, groups = [], []
         i = j = a_from = b_from = 0
         ahead = a_lengths[a[0]] - b_lengths[b[0]]
@@ -112,13 +118,12 @@ class Windows(Remembered):
                 i, j = i + 1, j + 1
                 groups.append(f"{','.join(a_names[a_from:i])}|{','.join(b_names[b_from:j])}")
                 if i == len(a):
-                    return ";".join(groups), len(groups), pack(f"{len(codes)}q", *codes)
+                    return ";".join(groups), pack(f"{len(codes)}q", *codes)
                 a_from, b_from = i, j
                 ahead = a_lengths[a[i]] - b_lengths[b[j]]
 
-    def __missing__(self, key: tuple[bytes, bytes]):
-        short = len(key[0]) + len(key[1]) <= REMEMBERED_TOKENS * IDS.itemsize
-        return super().__missing__(key) if short else self.work_out(key)
+    def __missing__(self, key: bytes):
+        return super().__missing__(key) if len(key) <= self.kept_bytes else self.work_out(key)
 
 
 @dataclass
@@ -134,9 +139,13 @@ class Aligned:
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
-        self.encode_a = byte_level_ids(a_path, plain=True).ids
+        found = byte_level_ids(a_path, plain=True)
+        self.encode_a = found.ids
+        # A byte-level file that is told by ranks has no normaliser and a token for every byte: it loses nothing.
+        self.a_whole = found.by_rank is not None
         self.model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a, self.b = Vocabulary(token_bytes(a_path)), Vocabulary(piece_bytes(self.model))
+        self.a_bytes, self.b_bytes = self.a.content.__getitem__, self.b.content.__getitem__
         self.windows = Windows(self.a, self.b)
 
     def align(self, text: str) -> Aligned:
@@ -144,20 +153,21 @@ class Aligner:
             return Aligned()
         raw = b" " + text.encode()
         a, b = self.encode_a(" " + text), self.model.encode(text)
-        a_bytes, b_bytes = self.a.content, self.b.content
-        if b"".join([b_bytes[x] for x in b]) != raw or b"".join([a_bytes[x] for x in a]) != raw:
+        if b"".join(map(self.b_bytes, b)) != raw or (not self.a_whole and b"".join(map(self.a_bytes, a)) != raw):
             return Aligned()
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        windows, size = self.windows, self.windows.ids.itemsize
+        a_ids, b_ids = (np.frombuffer(array(windows.ids.char, x), windows.ids) for x in (a, b))
         a_lengths, b_lengths = self.a.lengths[a_ids], self.b.lengths[b_ids]
         a_starts, b_starts = np.cumsum(a_lengths) - a_lengths, np.cumsum(b_lengths) - b_lengths
         marked = np.intersect1d(a_starts[self.a.spaced[a_ids]], b_starts[self.b.spaced[b_ids]], assume_unique=True)
-        a_packed, b_packed = a_ids.astype(IDS).tobytes(), b_ids.astype(IDS).tobytes()
-        i = [*(np.searchsorted(a_starts, marked) * IDS.itemsize).tolist(), len(a_packed)]
-        j = [*(np.searchsorted(b_starts, marked) * IDS.itemsize).tolist(), len(b_packed)]
-        windows = self.windows
-        found = [windows[a_packed[p:q], b_packed[r:s]] for p, q, r, s in zip(i, i[1:], j, j[1:], strict=False)]
-        groups, numbers, codes = zip(*found, strict=True)
-        return Aligned(len(a), len(b), sum(numbers), ";".join(groups), np.frombuffer(b"".join(codes), np.int64))
+        a_packed, b_packed, between = a_ids.tobytes(), b_ids.tobytes(), windows.between
+        i = [*(np.searchsorted(a_starts, marked) * size).tolist(), len(a_packed)]
+        j = [*(np.searchsorted(b_starts, marked) * size).tolist(), len(b_packed)]
+        found = [windows[a_packed[p:q] + between + b_packed[r:s]] for p, q, r, s in zip(i, i[1:], j, j[1:], strict=False)]
+        groups, packed = zip(*found, strict=True)
+        codes = np.frombuffer(b"".join(packed), np.int64)
+        # Links stand for the ends of either side, groups for the ends of both.
+        return Aligned(len(a), len(b), len(a) + len(b) - len(codes), ";".join(groups), codes)
 
 
 @lru_cache(maxsize=2)

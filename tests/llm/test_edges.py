@@ -293,3 +293,32 @@ def test_pipeline_stages(odd, none):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:4]:
             assert stage(spark, docs, folder).columns == docs.columns, name
+
+
+def test_items_with_commas_and_empty_ids_count_once_each(spark):
+    docs = spark.createDataFrame([(1, PROSE)], "doc_id long, text string")
+    items = spark.createDataFrame([("1", PROSE), ("a,b", PROSE), ("", PROSE)], "item_id string, text string")
+    assert benchmark_hits(docs, items).first().n_items == 3
+
+
+def test_near_dedup_keeps_unique_texts_that_share_an_id(spark):
+    def said(n):
+        return " ".join(f"t{n}w{i}" for i in range(40))
+
+    rows = [(1, said(0)), (2, said(0)), (2, said(1)), (3, said(2)), (3, said(3)), (None, said(4)), (4, said(4)), (5, None), (6, ""), (7, said(5)), (7, said(5))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    expected = [(1, said(0)), (2, said(1)), (3, said(2)), (3, said(3)), (4, said(4)), (5, None), (6, ""), (7, said(5))]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_chat_events_repeated_or_without_number(spark):
+    rows = [(1, None, "message", 1, "user", "first"), (1, 2, "message", 2, "assistant", "hi"), (1, 2, "message", 2, "assistant", "hi"),
+            (1, 3, "delta", 2, "assistant", " you"), (1, 3, "delta", 2, "assistant", " you"), (1, 4, "regenerate", 2, "assistant", None),
+            (1, 5, "delta", 2, "assistant", "hello")]
+    events = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message_id long, role string, text string")
+    row = chat_format.fold_events(events).first()
+    assert [(t.role, t.text) for t in row.turns] == [("user", "first"), ("assistant", "hello")]
+    before = chat_format.fold_events(events.where("seq is null or seq <= 3")).first()
+    assert [(t.role, t.text) for t in before.turns] == [("user", "first"), ("assistant", "hi you")]
