@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,13 +168,48 @@ def secret_scan(texts: DataFrame, key: str, text: str) -> DataFrame:
     return found
 
 
+def term_hits(terms: list[str]) -> Callable[[Column], Column]:
+    """A column function: the (line, term number) pairs of a lower-cased text, each once, in order.
+
+    All terms are sought in one pass over the text by an automaton that every task makes once, so
+    neither the plan nor the time for a text grows with the number of terms. Lines and terms are
+    numbered from 1; a term with a line break is in no line, an empty one is in every line. A null
+    text has no hits. The list of terms goes to every task: it is given by the caller, not by data.
+    """
+    lowered = [t.lower() for t in terms]
+
+    @F.pandas_udf("array<struct<line:int,term_number:int>>")
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers: dict[str, list[int]] = {}
+        for number, term in enumerate(lowered, 1):
+            numbers.setdefault(term, []).append(number)
+        everywhere = numbers.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for term, held in numbers.items():
+            automaton.add_word(term, held)
+        automaton.make_automaton()
+
+        def found(text: str | None) -> list[tuple[int, int]] | None:
+            if text is None:
+                return None
+            out = []
+            for line, content in enumerate(text.split("\n"), 1):
+                met = set(everywhere)
+                if numbers:
+                    for _, held in automaton.iter(content):
+                        met.update(held)
+                out.extend((line, number) for number in sorted(met))
+            return out
+
+        for texts in batches:
+            yield texts.map(found)
+
+    return hits
+
+
 def term_scan(texts: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, line, term number) of forbidden terms, ignoring case; the term is not repeated."""
-    lowered = F.lower("line_text")
-    tests = [F.when(F.contains(lowered, F.lit(t.lower())), F.lit(n)) for n, t in enumerate(terms, 1)]
-    return text_lines(texts, key, text).select(
-        key, "line", F.explode(F.array_compact(F.array(*tests))).alias("term_number")
-    )
+    return texts.select(key, F.inline(term_hits(terms)(F.lower(text))))
 
 
 def version_scan(versions: DataFrame, terms: list[str]) -> DataFrame:
@@ -180,10 +219,11 @@ def version_scan(versions: DataFrame, terms: list[str]) -> DataFrame:
     first = hashed.groupBy("blob").agg(
         F.min_by("path", "version").alias("path"), F.min("version").alias("version"),
         F.count("*").alias("holders"), F.min_by("text", "version").alias("text"),
+    ).withColumn("_terms", term_hits(terms)(F.lower("text")))
+    held = F.transform(
+        F.array_distinct("_terms.term_number"), lambda n: F.concat(F.lit("term "), n.cast("string"))
     )
-    lowered = F.lower("text")
-    tests = [F.when(F.contains(lowered, F.lit(t.lower())), F.lit(f"term {n}")) for n, t in enumerate(terms, 1)]
-    hits = F.concat(F.array_compact(F.array(*tests)), secret_kinds(F.col("text")))
+    hits = F.concat(held, secret_kinds(F.col("text")))
     return first.select("path", "version", "holders", F.explode(hits).alias("hit"))
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.config import F1_THRESHOLD, MAX_TRACE_DEPTH, NOTIFY_DETAIL_MAX
+from quarrylight.config import F1_THRESHOLD, NOTIFY_DETAIL_MAX
 from quarrylight.operators import lineage
 from quarrylight.operators.impact import impact_contacts
 from quarrylight.operators.ownership import contacts, department_heads
@@ -176,12 +176,14 @@ def all_heads_baseline(catalog: Catalog) -> DataFrame:
 def default_depth_baseline(catalog: Catalog, requests: DataFrame, depth: int = 3) -> DataFrame:
     """Lineage at a fixed depth whatever was asked: requests(seed, depth) -> correct by F1.
 
-    Each seed is walked once, to the larger of both depths; distances tell the two sets apart.
+    Each seed is walked once, to the larger of both depths; distances tell the two sets apart. The
+    walk goes as deep as the largest depth asked, which is read first.
     """
     steps = lineage.directed_edges(catalog, "upstream")
     asked = requests.select("seed", F.col("depth").alias("asked")).distinct()
     seeds = asked.groupBy("seed").agg(F.greatest(F.max("asked"), F.lit(depth)).alias("depth"))
-    found = lineage.reach(steps, seeds, MAX_TRACE_DEPTH).where("node LIKE 'TBL-%'")
+    hops = seeds.agg(F.max("depth")).first()[0] or depth
+    found = lineage.reach(steps, seeds, hops).where("node LIKE 'TBL-%'")
     met = found.join(asked, "seed")
     counts = met.groupBy("seed", "asked").agg(
         F.count_if(F.col("distance") <= F.col("asked")).alias("n_gold"),

@@ -219,36 +219,135 @@ def trace_lineage(catalog: Catalog, requests: DataFrame, direction: str) -> Data
     )
 
 
+def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Nodes with one way in and one way out: (node, before, after) with the ends of the path they lie on,
+    and the nodes of paths that close on themselves; None where there are no such nodes.
+
+    Pointers double: after k rounds a node knows the ends of the 2^k steps on each of its sides.
+    """
+    ins = links.groupBy(F.col("head").alias("node")).agg(
+        F.count("*").alias("n_in"), F.min("tail").alias("before")
+    )
+    outs = links.groupBy(F.col("tail").alias("node")).agg(
+        F.count("*").alias("n_out"), F.min("head").alias("after")
+    )
+    passed = ins.join(outs, "node").where("n_in = 1 AND n_out = 1 AND before <> node")
+    jumps = stage(passed.select("node", "before", "after"), "chains")
+    size = jumps.count()
+    if not size:
+        return None
+    for _ in range(size.bit_length()):
+        onward = jumps.select(F.col("node").alias("after"), F.col("after").alias("_after"))
+        back = jumps.select(F.col("node").alias("before"), F.col("before").alias("_before"))
+        jumps = stage(
+            jumps.join(onward, "after", "left").join(back, "before", "left").select(
+                "node", F.coalesce("_before", "before").alias("before"),
+                F.coalesce("_after", "after").alias("after"),
+                F.col("_after").isNotNull().alias("moved"),
+            ),
+            "chains",
+        )
+        if jumps.where("moved").isEmpty():
+            break
+        jumps = jumps.drop("moved")
+    own = jumps.select(F.col("node").alias("after"))
+    return jumps.join(own, "after", "left_anti"), jumps.join(own, "after", "left_semi").select("node")
+
+
 def cyclic_part(edges: DataFrame) -> DataFrame:
-    """Edges left after repeatedly removing nodes without parents or without children; empty for
-    a DAG.
+    """Edges that have a cycle, or a part of one, both before and behind them; empty for a DAG.
 
-    Each round keeps the edges that go on at both ends, so all edges to reports and metrics are
-    gone after the first one; rounds are bounded by half the longest path and every round's
-    remainder is written once.
+    Each round removes edges that do not go on at both ends, so all edges to reports and metrics
+    are gone after the first one. Where that removes less than half, paths without branches are
+    drawn together into one link first, by doubling, so a chain of any length costs its logarithm;
+    every edge keeps the link it lies on. Rounds are bounded by the longest path that branches at
+    every node. Every round's remainder is written once.
     """
-    left = stage(edges.select("src", "dst").distinct(), "peel")
-    size = left.count()
-    while size:
-        parents = left.select(F.col("dst").alias("src")).distinct()
-        children = left.select(F.col("src").alias("dst")).distinct()
-        remaining = stage(
-            left.join(parents, "src", "left_semi").join(children, "dst", "left_semi"), "peel"
+    left = stage(
+        edges.select("src", "dst").distinct()
+        .select("src", "dst", F.col("src").alias("tail"), F.col("dst").alias("head")),
+        "peel",
+    )
+    links = left.count()
+    rings = []
+    while links:
+        parents = left.select(F.col("head").alias("tail")).distinct()
+        children = left.select(F.col("tail").alias("head")).distinct()
+        left = stage(
+            left.join(parents, "tail", "left_semi").join(children, "head", "left_semi"), "peel"
+        )
+        before, links = links, left.select("tail", "head").distinct().count()
+        if not links or 2 * links <= before:
+            continue
+        chains = _chains(left.select("tail", "head").distinct())
+        if chains is None:
+            if links == before:
+                break
+            continue
+        ends, closed = chains
+        rings.append(
+            stage(left.join(closed.withColumnRenamed("node", "tail"), "tail", "left_semi"), "rings")
+        )
+        heads = ends.select(F.col("node").alias("head"), F.col("after").alias("_head"))
+        tails = ends.select(F.col("node").alias("tail"), F.col("before").alias("_tail"))
+        left = stage(
+            left.join(closed.withColumnRenamed("node", "tail"), "tail", "left_anti")
+            .join(tails, "tail", "left").join(heads, "head", "left")
+            .select("src", "dst", F.coalesce("_tail", "tail").alias("tail"),
+                    F.coalesce("_head", "head").alias("head")),
+            "peel",
         )
-        smaller = remaining.count()
-        if smaller == size:
+        links = left.select("tail", "head").distinct().count()
+    return reduce(DataFrame.unionByName, rings, left).select("src", "dst")
+
+
+def witness_cycle(stuck: DataFrame) -> DataFrame:
+    """(position, node): one cycle of a cyclic part in the direction of its edges, from its least node on.
+
+    Every node of a cyclic part that can be come to has a lowest parent; going back from parent to
+    parent ends in a cycle. Doubled steps find the nodes that are still met after any number of
+    steps, then the cycle of the least of them, in rounds that grow with the logarithm of the nodes.
+    """
+    steps = [
+        stage(stuck.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("back")), "back")
+    ]
+
+    def twice() -> DataFrame:
+        onward = steps[-1].select(F.col("node").alias("back"), F.col("back").alias("_back"))
+        return stage(steps[-1].join(onward, "back").select("node", F.col("_back").alias("back")), "back")
+
+    met = steps[0].agg(F.count_distinct("back")).first()[0]
+    while met:
+        steps.append(twice())
+        before, met = met, steps[-1].agg(F.count_distinct("back")).first()[0]
+        if met == before:
             break
-        left, size = remaining, smaller
-    return left
+    ring = steps[-1].agg(F.min("back").alias("node")).where("node IS NOT NULL").withColumn(
+        "gone", F.lit(0).cast("bigint")
+    )
+    power, size = 0, ring.count()
+    while size == 2**power:
+        if power == len(steps):
+            steps.append(twice())
+        further = ring.join(steps[power], "node").select(
+            F.col("back").alias("node"), (F.col("gone") + 2**power).alias("gone")
+        )
+        ring = stage(ring.union(further).groupBy("node").agg(F.min("gone").alias("gone")), "ring")
+        power, size = power + 1, ring.count()
+    return ring.select(((size - F.col("gone")) % max(size, 1)).alias("position"), "node")
 
 
 def check_dag(edges: DataFrame) -> DataFrame:
-    """One row: is it a DAG, how many edges lie on or behind a cycle, and a witness node."""
-    stuck = cyclic_part(edges)
-    return stuck.agg(
-        (F.count("*") == 0).alias("is_dag"),
-        F.count("*").alias("cyclic_edges"),
-        F.min("src").alias("witness"),
+    """One row: is it a DAG, how many edges lie on a cycle or between two, the length of one cycle
+    and its least node."""
+    stuck = stage(cyclic_part(edges), "cyclic")
+    cycle = witness_cycle(stuck).agg(
+        F.count("*").alias("cycle_length"), F.min("node").alias("witness")
+    )
+    sizes = stuck.agg(F.count("*").alias("cyclic_edges"))
+    one = F.lit(1).alias("one")
+    return sizes.select("*", one).join(cycle.select("*", one), "one").select(
+        (F.col("cyclic_edges") == 0).alias("is_dag"), "cyclic_edges", "cycle_length", "witness"
     )
 
 

@@ -359,24 +359,49 @@ def tenure(df: DataFrame, people: DataFrame, person: str, day: str) -> DataFrame
     return df.join(employed, person).where(outside)
 
 
+#: Blocks whose ends meet in one task of `_carried`.
+FAN_IN = 65_536
+
+
+def _carried(ends: DataFrame, level: int) -> DataFrame:
+    """ends(_block, _end_day): for every block the end of the block before it that has one.
+
+    A tree: neighbours are compared inside groups of FAN_IN blocks, and only the last end of a
+    group goes up a level, so no task sees more than FAN_IN rows.
+    """
+    grouped = ends.withColumn("_group", F.expr(f"_block div {FAN_IN}"))
+    inside = Window.partitionBy("_group").orderBy("_block")
+    lagged = grouped.withColumn("_near", F.lag("_end_day").over(inside))
+    if level == 1:
+        return lagged.select("_block", F.col("_near").alias("_carry"))
+    tops = grouped.groupBy(F.col("_group").alias("_block")).agg(
+        F.max_by("_end_day", "_block").alias("_end_day")
+    )
+    above = _carried(tops, level - 1).withColumnsRenamed({"_block": "_group", "_carry": "_far"})
+    first = F.row_number().over(inside) == 1
+    return lagged.withColumn("_first", first).join(above, "_group").select(
+        "_block", F.when(F.col("_first"), F.col("_far")).otherwise(F.col("_near")).alias("_carry")
+    )
+
+
 def out_of_order(df: DataFrame, key: str, day: str, block: int = 100_000) -> DataFrame:
     """Records whose day is before the day of the record with the next lower ID.
 
     Records are compared inside blocks of the ID's number; only the last record of each block is
-    carried over to the next one.
+    carried over to the next one, up and down a tree of blocks as high as 64-bit numbers need.
     """
+    levels = 1
+    while 2**63 // block // FAN_IN**levels:
+        levels += 1
     numbered = df.select(
         F.col(key).alias("record"), id_number(key).alias("_number"), F.col(day).alias("_day")
-    ).withColumn("_block", F.floor(F.col("_number") / block))
+    ).withColumn("_block", F.expr(f"_number div {block}"))
     inside = Window.partitionBy("_block").orderBy("_number")
     lagged = numbered.withColumn("_before", F.lag("_day").over(inside))
-    ends = numbered.groupBy("_block").agg(
+    ends = numbered.where("_block IS NOT NULL").groupBy("_block").agg(
         F.max_by("_day", "_number").alias("_end_day")
     )
-    carried = ends.withColumn("_carry", F.lag("_end_day").over(Window.orderBy("_block"))).select(
-        "_block", "_carry"
-    )
-    joined = lagged.join(carried, "_block")
+    joined = lagged.join(_carried(ends, levels), "_block")
     return joined.where(F.col("_day") < F.coalesce("_before", "_carry")).select("record")
 
 

@@ -173,7 +173,7 @@ def trace_lineage(spark, sf):
 
 
 @query("check_dag", """
-SELECT count(*) = 0 AS is_dag, 0::BIGINT AS cyclic_edges, NULL::VARCHAR AS witness
+SELECT count(*) = 0 AS is_dag, 0::BIGINT AS cyclic_edges, 0::BIGINT AS cycle_length, NULL::VARCHAR AS witness
 FROM {treach} WHERE seed = node""")
 def check_dag(spark, sf):
     return lineage.check_dag(lineage.lineage_edges(catalog(spark, sf)))

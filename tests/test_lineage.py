@@ -90,7 +90,62 @@ def test_dag_check_finds_a_cycle(spark, mini):
     assert lineage.check_dag(lineage.lineage_edges(mini)).first()["is_dag"]
     cyclic = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "a")], "src string, dst string")
     row = lineage.check_dag(cyclic).first()
-    assert not row["is_dag"] and row["cyclic_edges"] == 2 and row["witness"] == "b"
+    assert not row["is_dag"] and row["cyclic_edges"] == 2 and row["cycle_length"] == 2 and row["witness"] == "b"
+
+
+def brute_cyclic(named):
+    """Edges left when edges without an edge before or behind them are removed until none is left to remove."""
+    left = set(named)
+    while True:
+        tails, heads = {a for a, _ in left}, {b for _, b in left}
+        kept = {(a, b) for a, b in left if a in heads and b in tails}
+        if kept == left:
+            return left
+        left = kept
+
+
+def check_cycle(cycle, named):
+    """The positions are 0 .. n-1, each node leads to the next one and the last one to the first."""
+    walk = [r["node"] for r in sorted(cycle.collect(), key=lambda r: r["position"])]
+    assert [r["position"] for r in sorted(cycle.collect(), key=lambda r: r["position"])] == list(range(len(walk)))
+    assert len(set(walk)) == len(walk) and walk[0] == min(walk)
+    assert all((a, b) in named for a, b in zip(walk, walk[1:] + walk[:1]))
+    return walk
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cyclic_part_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    named = {(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(rng.choice([30, 45, 60]))}
+    named |= {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)}  # a long path
+    named |= {(f"r{i}", f"r{(i + 1) % 5}") for i in range(seed % 2 * 5)}  # a ring apart
+    named |= {("s", "s")} if seed % 3 == 0 else set()  # an edge to itself
+    edges = spark.createDataFrame(sorted(named), "src string, dst string")
+    stuck = lineage.cyclic_part(edges)
+    expected = brute_cyclic(named)
+    assert sorted(map(tuple, stuck.collect())) == sorted(expected)
+    if expected:
+        check_cycle(lineage.witness_cycle(stuck), expected)
+
+
+def test_a_chain_and_a_long_ring_take_few_rounds(spark, monkeypatch):
+    written = []
+    whole = lineage.stage
+    monkeypatch.setattr(lineage, "stage", lambda df, name: written.append(name) or whole(df, name))
+    chain = spark.range(10_000).selectExpr("id AS src", "id + 1 AS dst")
+    row = lineage.check_dag(chain).first()
+    assert row["is_dag"] and row["witness"] is None and row["cycle_length"] == 0
+    assert len(written) < 30
+    written.clear()
+    ring = chain.union(spark.sql("SELECT 10000 AS src, 7 AS dst"))
+    row = lineage.check_dag(ring).first()
+    assert not row["is_dag"] and row["cyclic_edges"] == row["cycle_length"] == 9_994 and row["witness"] == 7
+    assert len(written) < 80
+
+
+def test_an_empty_graph_is_a_dag(spark):
+    row = lineage.check_dag(spark.createDataFrame([], "src string, dst string")).first()
+    assert row["is_dag"] and row["cyclic_edges"] == 0 and row["witness"] is None
 
 
 def test_directions_are_checked(mini):

@@ -1,10 +1,11 @@
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.operators import similarity, skew
+from quarrylight.operators import quality, similarity, skew
 from quarrylight.operators.quality import out_of_order
 from quarrylight.operators.quota import rolling_usage
 
@@ -77,3 +78,18 @@ def test_out_of_order_sees_block_borders(spark):
     for block in (2, 3, 100):
         got = sorted(r["record"] for r in out_of_order(df, "id", "d", block).collect())
         assert got == ["REQ-0003", "REQ-0006"]
+
+
+def test_out_of_order_carries_over_empty_blocks_without_one_task(spark, monkeypatch, capsys):
+    monkeypatch.setattr(quality, "FAN_IN", 64)
+    rng = random.Random(5)
+    numbers = sorted(rng.sample(range(100_000), 200))
+    rows = [(f"REQ-{n}", date(2020, 1, 1) + timedelta(days=rng.randrange(300))) for n in numbers]
+    df = spark.createDataFrame(rows, "id string, d date")
+    found = out_of_order(df, "id", "d", 7)
+    assert sorted(r["record"] for r in found.collect()) == sorted(
+        b[0] for a, b in zip(rows, rows[1:]) if b[1] < a[1]
+    )
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Window" in plan and "SinglePartition" not in plan
