@@ -32,6 +32,7 @@ BOILERPLATE = (
 NOTICE = r"(?<![\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])"
 NOTICE_CHARS = 100
 SYMBOLS = "#*$%&|<>"
+BARS = "|»›•·→"
 BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 # Ends of sentences in the scripts that mark them, with closing quotes or brackets. Fixed values.
@@ -63,7 +64,12 @@ def word_array(text: Column) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.length(without(line, BLANKS)) > 0
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def count_of(column: Column, characters: str) -> Column:
+    """How often any of the characters occurs."""
+    return F.size(F.split(column, f"[{characters}]")) - 1
 
 
 def shouting(line: Column) -> Column:
@@ -71,7 +77,7 @@ def shouting(line: Column) -> Column:
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    return (letters >= 20) & (capitals > 0.6 * letters) & (shouts >= 3)
+    return line.contains("!!") & (shouts >= 3) & (letters >= 20) & (capitals > 0.6 * letters)
 
 
 def marked_run(run: Column) -> Column:
@@ -98,14 +104,13 @@ def punctuated(marked: Column, i: Column) -> Column:
 
 
 def bad_symbols(line: Column) -> Column:
-    return (F.length(line) - F.length(without(line, SYMBOLS))) * 20 > F.length(without(line, BLANKS))
+    return line.rlike(f"[{SYMBOLS}]") & (count_of(line, SYMBOLS) * 20 > F.length(without(line, BLANKS)))
 
 
 def navigation(line: Column) -> Column:
     """Entries between bars, arrows or bullets."""
-    marks = F.length(line) - F.length(without(line, "|»›•·→"))
-    spaces = F.length(line) - F.length(without(line, " "))
-    return (marks >= 3) & (marks * 6 > spaces)
+    marks, spaces = count_of(line, BARS), F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return line.rlike(f"[{BARS}]") & (marks >= 3) & (marks * 6 > spaces)
 
 
 def boilerplate(line: Column, run: Column) -> Column:
@@ -173,8 +178,8 @@ def quality_rules(docs: DataFrame, text_column: str = "text", max_lost: float =
     flat = computed(
         step,
         F.col("_n").cast("long").alias("n_words"),
-        F.length(without(text, BLANKS)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered(F.col("_starts"), 3), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
