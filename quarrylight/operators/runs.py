@@ -102,14 +102,15 @@ DRAWS_PER_HASH = 4
 def poisson_weight(draw: Column) -> Column:
     """A Poisson(1) draw from eight hex digits: how many of the distribution's steps they reach.
 
-    Equally long hex strings compare like the numbers they write.
+    Equally long hex strings compare like the numbers they write. Steps finer than one of the 2^32
+    draws cannot be met and end the sum.
     """
     weight, below = F.lit(0), 0.0
-    term = 0.36787944117144233  # exp(-1)
-    for k in range(1, 10):
+    term, k = 0.36787944117144233, 1  # exp(-1)
+    while term * 2**32 >= 1:
         below += term
         weight = weight + (draw >= F.lit(f"{int(below * 2**32):08x}")).cast("int")
-        term = term / k
+        term, k = term / k, k + 1
     return weight
 
 
@@ -121,15 +122,15 @@ def bootstrap_ci(
     Every resample draws each question Poisson(1) times, the limit of drawing n of n with
     replacement. The draw is a hash of (resample, question), so it needs no index, no join and no
     generator; one hash serves four resamples, and partial sums leave each task as one row per
-    four resamples. The interval bounds are the 25th and the 974th of 1000 sorted means, counted
-    from 0.
+    four resamples. Any number of samples from 1 on is drawn in full. The interval bounds are
+    the 25th and the 974th of 1000 sorted means, counted from 0.
     """
     spark = means.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("g").cast("string"), F.col("item_id")))
     # A few questions grow a thousandfold here, so they are dealt out to all tasks first.
     hashed = means.repartition(tasks, *by, "item_id").withColumn(
-        "g", F.explode(F.sequence(F.lit(0), F.lit(samples // DRAWS_PER_HASH - 1)))
+        "g", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // DRAWS_PER_HASH)))
     ).withColumn("hash", key)
     sums = []
     for part in range(DRAWS_PER_HASH):
@@ -138,7 +139,8 @@ def bootstrap_ci(
         sums.append(F.sum(weight).alias(f"n{part}"))
     drawn = hashed.groupBy(*by, "g").agg(*sums)
     values = F.array(*[ratio(F.col(f"w{p}"), F.col(f"n{p}")) for p in range(DRAWS_PER_HASH)])
-    resampled = drawn.select(*by, F.explode(values).alias("value"))
+    asked = F.least(F.lit(DRAWS_PER_HASH), samples - F.col("g") * DRAWS_PER_HASH)
+    resampled = drawn.select(*by, F.explode(F.slice(values, 1, asked)).alias("value"))
     ordered = F.array_sort(F.collect_list("value"))
     return resampled.groupBy(*by).agg(ordered.alias("v")).select(
         *by,

@@ -412,7 +412,7 @@ _U = "('0x' || substr(md5('0:' || (b // 4) || ':' || item_id), 1 + 8 * (b % 4),
 
 def _poisson_sql() -> str:
     below, term, parts = 0.0, 0.36787944117144233, []
-    for k in range(1, 10):
+    for k in range(1, 14):
         below += term
         parts.append(f"(u >= {int(below * 2**32)})::INT")
         term = term / k
