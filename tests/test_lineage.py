@@ -1,10 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import table_id
-from quarrylight.operators import lineage
+from quarrylight.operators import gold, lineage
 
 
 def pairs(df):
@@ -181,3 +182,15 @@ def test_cards_list_what_fits(spark, mini):
     size = len('{"id":"TBL-0001","name":"t","layer":"mart"}') + 1
     assert len(card["RPT-0001"].tables) == OUTPUT_CHARS // size
     assert (card["RPT-0002"].linked_count, len(card["RPT-0002"].tables), card["RPT-0002"].truncated) == (3, 3, False)
+
+
+def test_fixed_depth_baseline_walks_as_deep_as_asked(spark):
+    back = spark.createDataFrame(
+        [(table_id(n), table_id(n - 1)) for n in range(1, 12)], "src string, dst string"
+    )
+    chain = SimpleNamespace(prepared={"steps_upstream": lineage.step_edges(back)})
+    asked = spark.createDataFrame([(table_id(11), 8), (table_id(11), 2), (table_id(4), 9)], "seed string, depth int")
+    got = {(r["item_id"], r["depth"]): (r["n_gold"], r["n_given"]) for r in gold.default_depth_baseline(chain, asked).collect()}
+    assert got == {(table_id(11), 8): (8, 3), (table_id(11), 2): (2, 3), (table_id(4), 9): (4, 3)}
+    none = gold.default_depth_baseline(chain, asked.limit(0))
+    assert none.collect() == []
