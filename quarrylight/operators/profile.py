@@ -11,7 +11,8 @@ from quarrylight.functions.scalars import packed_list
 from quarrylight.functions.text import shorten
 from quarrylight.operators.ownership import contacts
 from quarrylight.operators.quality import id_number
-from quarrylight.operators.skew import quantiles, value_ranks
+from quarrylight.operators.selection import quantiles
+from quarrylight.operators.skew import value_ranks
 from quarrylight.schemas import CATALOG
 from quarrylight.sources.catalog import Catalog
 

@@ -16,7 +16,7 @@ from quarrylight.config import (
     EFFECT_POINTS,
     FAST_ANSWER_MS,
 )
-from quarrylight.operators.skew import quantiles
+from quarrylight.operators.selection import quantiles
 
 # The kinds of wrong answers, in the order they are tested.
 ERROR_KINDS = [

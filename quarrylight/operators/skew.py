@@ -92,29 +92,3 @@ def value_ranks(
     return joined.select(
         *groups, value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"
     )
-
-
-def quantiles(
-    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], nearest: bool = False
-) -> DataFrame:
-    """Exact quantiles per group, one column per name in `wanted`.
-
-    nearest takes the value at index round_half_even(q * (n - 1)); otherwise the two values
-    around q * (n - 1) are interpolated.
-    """
-    ranks = value_ranks(df, groups, value)
-
-    def at(index: Column) -> Column:
-        inside = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
-        return F.max(F.when(inside, F.col(value).cast("double")))
-
-    columns = []
-    for name, q in wanted.items():
-        place = F.lit(q) * (F.col("total") - 1)
-        if nearest:
-            columns.append(at(F.rint(place)).alias(name))
-            continue
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        share = F.max(place - F.floor(place))
-        columns.append((low + share * (high - low)).alias(name))
-    return ranks.groupBy(*groups).agg(*columns)

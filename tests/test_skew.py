@@ -1,37 +1,11 @@
 import random
 from datetime import date, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import quality, similarity, skew
 from quarrylight.operators.quality import out_of_order
-from quarrylight.operators.quota import rolling_usage
-
-
-def skewed(spark, n=3000):
-    rng = random.Random(1)
-    # A third of all rows share one value.
-    rows = [("a" if i % 5 else "b", 7 if i % 3 == 0 else rng.randrange(1000)) for i in range(n)]
-    return rows, spark.createDataFrame(rows, "g string, v bigint")
-
-
-def test_quantiles_match_numpy(spark):
-    rows, df = skewed(spark)
-    found = {r["g"]: r for r in skew.quantiles(df, ["g"], "v", {"p5": 0.05, "p50": 0.5, "p99": 0.99}).collect()}
-    for group in ("a", "b"):
-        values = [v for g, v in rows if g == group]
-        for name, q in (("p5", 0.05), ("p50", 0.5), ("p99", 0.99)):
-            assert found[group][name] == pytest.approx(np.quantile(values, q))
-
-
-def test_nearest_rank_matches_sorting(spark):
-    rows, df = skewed(spark, 501)
-    got = skew.quantiles(df, [], "v", {"p50": 0.5, "p95": 0.95}, nearest=True).first()
-    values = sorted(v for _, v in rows)
-    assert got["p50"] == values[round(0.5 * (len(values) - 1))]
-    assert got["p95"] == values[round(0.95 * (len(values) - 1))]
 
 
 def test_salted_join_gives_the_plain_join(spark):
@@ -44,17 +18,6 @@ def test_salted_join_gives_the_plain_join(spark):
     assert sorted(joined.collect()) == sorted(many.join(few, "k").select("k", "v", "w").collect())
 
 
-def test_rolling_usage_matches_a_scan(spark):
-    rng = random.Random(3)
-    seconds = sorted(rng.sample(range(1000), 80))
-    rows = [(i, s, rng.randrange(50)) for i, s in enumerate(seconds)]
-    df = spark.createDataFrame(rows, "id int, s long, tokens int").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r["id"]: (r["calls"], r["window_tokens"]) for r in rolling_usage(df, 60).collect()}
-    for i, s, _ in rows:
-        near = [(a, t) for _, a, t in rows if s - 60 <= a <= s]
-        assert got[i] == (len(near), sum(t for _, t in near))
-
-
 def test_similar_names_match_brute_force(spark):
     rng = random.Random(5)
     words = ["sales", "by", "region", "daily", "dealer", "margin", "x1", "x2", "x3", "x4"]
