@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarrylight.functions import scalars, text, vectors
-from quarrylight.operators import impact, tools
+from quarrylight.operators import impact, records, tools
 from quarrylight.plans.bindings import catalog, source
 from quarrylight.plans.oracle_views import view
 from quarrylight.plans.quality_queries import jaccard_sql
@@ -386,6 +386,69 @@ def lookup_record(spark, sf):
     return tools.lookup_records(catalog(spark, sf), asked_records(spark, sf))
 
 
+def _person_sql(alias: str) -> str:
+    return f"{{'id': {alias}.employee_id, 'name': {alias}.full_name, 'status': {alias}.status}}"
+
+
+def _card_sql(fields: str, listed: str, rest: str, limit: int = 4000) -> str:
+    """payload and truncated of a card: the longest start of its list with which the JSON fits."""
+    card = "to_json({" + fields + ", %s, " + rest + "'truncated': %s})"
+    name = listed.split(":")[0]
+    size = f"length({card % (name + ': []', 'false')})"
+    fits = (f"list_max(list_filter(range(len(items) + 1), lambda k: {size} - (k < len(items))::INT"
+            f" + length(array_to_string(list_transform(items[1:k], lambda t: to_json(t)::VARCHAR), ',')) <= {limit}))")
+    return (f"{card % (f'{name}: items[1:coalesce({fits}, 0)]', f'coalesce({fits}, 0) < len(items)')}::VARCHAR AS payload,"
+            f" coalesce({fits}, 0) < len(items) AS truncated")
+
+
+_LINKS = ("coalesce((SELECT list({'id': t.table_id, 'name': t.name, 'layer': t.layer} ORDER BY t.table_id) FROM %s x"
+          " JOIN {tables} t USING (table_id) WHERE x.%s = c.%s), []) AS items")
+
+view("report_payloads", f"""
+  SELECT report_id AS record_id, {_card_sql("'record_type': 'report', 'report_id': report_id, 'name': name, 'workspace': workspace, "
+    "'department': department, 'description': description, 'created_date': created_date::VARCHAR, "
+    "'last_refresh': last_refresh::VARCHAR, 'refresh_status': refresh_status, 'tags': string_split(tags, '|'), "
+    "'usage_30d': usage_30d, 'status': status, 'replaced_by_report_id': replaced_by_report_id, 'owner': owner",
+    "'tables':", "")}
+  FROM (SELECT c.*, {_person_sql("p")} AS owner, {_LINKS % ("{redges}", "report_id", "report_id")}
+    FROM {{reports}} c JOIN {{employees}} p ON p.employee_id = c.owner_id) y""".replace("{{", "{").replace("}}", "}"))
+view("table_payloads", f"""
+  SELECT table_id AS record_id, {_card_sql("'record_type': 'table', 'table_id': table_id, 'name': name, 'layer': layer, "
+    "'source_system': source_system, 'schema_name': schema_name, 'description': description", "'columns':",
+    "'row_count': row_count, 'update_frequency': update_frequency, 'owner': owner, 'parent_table_count': parents, "
+    "'child_table_count': children, 'downstream_report_count': readers, ")}
+  FROM (SELECT c.*, {_person_sql("p")} AS owner, from_json(c.columns_json, '[{{"name":"VARCHAR","type":"VARCHAR"}}]') AS items,
+      (SELECT count(*) FROM {{tedges}} x WHERE x.child_table_id = c.table_id) AS parents,
+      (SELECT count(*) FROM {{tedges}} x WHERE x.parent_table_id = c.table_id) AS children, s.affected_report_count AS readers
+    FROM {{tables}} c JOIN {{employees}} p ON p.employee_id = c.owner_id JOIN {{isummary}} s USING (table_id)) y""".replace(
+    "{{", "{").replace("}}", "}"))
+view("metric_payloads", f"""
+  SELECT metric_id AS record_id, {_card_sql("'record_type': 'metric', 'metric_id': metric_id, 'name': name, "
+    "'aliases': string_split(aliases, '|'), 'business_definition': business_definition, 'formula': formula, 'owner': owner",
+    "'source_tables':", "")}
+  FROM (SELECT c.*, {_person_sql("p")} AS owner, {_LINKS % ("{medges}", "metric_id", "metric_id")}
+    FROM {{metrics}} c JOIN {{employees}} p ON p.employee_id = c.owner_id) y""".replace("{{", "{").replace("}}", "}"))
+view("payloads", f"""
+  SELECT * FROM {{report_payloads}} UNION ALL SELECT * FROM {{table_payloads}} UNION ALL SELECT * FROM {{metric_payloads}}
+  UNION ALL SELECT employee_id, to_json({{'record_type': 'employee', 'employee_id': employee_id, 'full_name': full_name,
+    'department': department, 'title': title, 'status': status, 'manager_id': manager_id, 'successor_id': successor_id,
+    'is_department_head': is_department_head, 'truncated': false}})::VARCHAR, false FROM {{employees}}
+  UNION ALL SELECT q.request_id, to_json({{'record_type': 'request', 'request_id': q.request_id, 'title': q.title,
+    'description': q.description, 'department': q.department, 'created_date': q.created_date::VARCHAR,
+    'closed_date': q.closed_date::VARCHAR, 'status': q.status, 'resulting_report_id': q.resulting_report_id,
+    'duplicate_of_request_id': q.duplicate_of_request_id, 'requester': {_person_sql("r")}, 'assignee': {_person_sql("a")},
+    'truncated': false}})::VARCHAR, false
+  FROM {{requests}} q JOIN {{employees}} r ON r.employee_id = q.requester_id
+    JOIN {{employees}} a ON a.employee_id = q.assignee_id""".replace("{{", "{").replace("}}", "}"))
+
+
+@query("get_record", """
+SELECT a.request_id, a.record_id, a.kind, p.payload, p.truncated, CASE WHEN a.kind IS NULL THEN 'INVALID_ARGUMENT'
+  WHEN p.record_id IS NULL THEN 'NOT_FOUND' END AS error FROM {asked} a LEFT JOIN {payloads} p USING (record_id)""")
+def get_record(spark, sf):
+    return records.get_records(catalog(spark, sf), asked_records(spark, sf)).withColumn("error", F.col("error.code"))
+
+
 @query("result_or_error", """
 SELECT a.request_id, CASE WHEN a.kind IS NULL OR a.kind NOT IN ('report', 'table', 'metric') THEN 'INVALID_ARGUMENT'
   WHEN c.asset_id IS NULL THEN 'NOT_FOUND' END AS error, c.resolved_owner_id, c.reason
