@@ -1,57 +1,76 @@
-"""What a changed table affects and who must be told, for every table at once."""
+"""What a changed table affects and who must be told, for every table or a table of requests at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.config import IMPACT_OUTPUT_CHARS, NOTIFY_BROADCAST_TOP, NOTIFY_DETAIL_MAX
+from quarrylight.functions.text import record_type
 from quarrylight.operators.limits import fit_to_limit, json_text
-from quarrylight.operators.lineage import table_closure, table_reach
+from quarrylight.operators.lineage import reach, step_edges, table_closure, table_reach
 from quarrylight.operators.ownership import contacts, department_heads
 from quarrylight.operators.skew import fan_out_hot_keys, split_hot_keys
-from quarrylight.sources.catalog import Catalog, metric_sources
+from quarrylight.sources.catalog import Catalog, assets, metric_sources
+from quarrylight.sources.staging import stage
+
+#: The longest answer that is built as one value. People's IDs are never cut, so an answer can be of any
+#: length; beyond this one its rows are in impact_contacts and notified.
+PAYLOAD_CHARS = 16_000_000
 
 
 def _owned(catalog: Catalog, assets: DataFrame) -> DataFrame:
-    """Assets with the contact of their owner."""
+    """Assets with the contact of their owner; broken where the owner, or a person of the walk, does not exist."""
     people = contacts(catalog).selectExpr(
-        "employee_id AS owner_id", "contact_id AS notify_id", "resolved AS owner_resolved"
+        "employee_id AS owner_id", "contact_id AS notify_id", "resolved", "reason <> 'inconsistent' AS sound"
+    )
+    return assets.join(people, "owner_id", "left").select(
+        "*", F.coalesce("resolved", F.lit(False)).alias("owner_resolved"),
+        (~F.coalesce("sound", F.lit(False))).alias("broken"),
+    ).drop("owner_id", "resolved", "sound")
+
+
+def report_entries(catalog: Catalog) -> DataFrame:
+    """Every report as an answer lists it: asset_id, told, usage_30d, notify_id, owner_resolved, broken, entry."""
+    reports = _owned(
+        catalog,
+        catalog.reports.select(
+            F.col("report_id").alias("asset_id"), "name", "status", "usage_30d", "owner_id"
+        ),
+    )
+    told = F.col("status") == "active"
+    entry = F.struct(
+        F.col("asset_id").alias("report_id"), "name", "status", "usage_30d",
+        F.when(told, F.col("notify_id")).alias("notify_employee_id"), "owner_resolved",
+    )
+    return reports.select(
+        "asset_id", told.alias("told"), "usage_30d", "notify_id", "owner_resolved", "broken", entry.alias("entry")
     )
-    return assets.join(people, "owner_id").drop("owner_id")
 
 
 def affected(catalog: Catalog) -> DataFrame:
     """One row per table and report or metric downstream of it, with who is told about it.
 
     Columns: table_id, asset_id, type, told (somebody is told: active reports and all metrics),
-    usage_30d, notify_id, owner_resolved, item_chars (length of its entry in the answer).
+    usage_30d, notify_id, owner_resolved, broken (its owner cannot be looked up), item_chars (length of
+    its entry in the answer).
     What depends on the asset alone is computed before the closure is joined and rides along,
     so the one large shuffle is the one that removes assets reached over several tables. Links
     of a hub table are spread over salts.
     """
 
     def build() -> DataFrame:
-        reports = _owned(
-            catalog,
-            catalog.reports.select(
-                F.col("report_id").alias("asset_id"), "name", "status", "usage_30d", "owner_id"
-            ),
-        )
-        told = F.col("status") == "active"
-        entry = F.struct(
-            F.col("asset_id").alias("report_id"), "name", "status", "usage_30d",
-            F.when(told, F.col("notify_id")).alias("notify_employee_id"), "owner_resolved",
-        )
-        reports = reports.select(
-            "asset_id", F.lit("report").alias("type"), told.alias("told"), "usage_30d",
-            "notify_id", "owner_resolved", F.length(json_text(entry)).alias("item_chars"),
+        reports = report_entries(catalog).select(
+            "asset_id", F.lit("report").alias("type"), "told", "usage_30d",
+            "notify_id", "owner_resolved", "broken", F.length(json_text(F.col("entry"))).alias("item_chars"),
         )
         metrics = _owned(
             catalog, catalog.metrics.select(F.col("metric_id").alias("asset_id"), "owner_id")
         ).select(
             "asset_id", F.lit("metric").alias("type"), F.lit(True).alias("told"),
-            F.lit(0).cast("bigint").alias("usage_30d"), "notify_id", "owner_resolved",
+            F.lit(0).cast("bigint").alias("usage_30d"), "notify_id", "owner_resolved", "broken",
             (F.length("asset_id") + 2).alias("item_chars"),
         )
         links = catalog.report_table_edges.selectExpr("report_id AS asset_id", "table_id AS node")
@@ -83,8 +102,8 @@ def impact_closure(catalog: Catalog) -> DataFrame:
 
 
 def notified(catalog: Catalog) -> DataFrame:
-    """The affected assets somebody is told about: active reports and all metrics."""
-    return affected(catalog).where("told")
+    """The affected assets somebody is told about: active reports and all metrics, but for broken ones."""
+    return affected(catalog).where("told AND NOT broken")
 
 
 def impact_contacts(catalog: Catalog) -> DataFrame:
@@ -188,8 +207,12 @@ def impact_summary(catalog: Catalog) -> DataFrame:
     )
 
 
-# Fixed value: an ID has at least seven characters, two quotes and a comma around it.
-MIN_ITEM_CHARS = 10
+def shortest_item(catalog: Catalog) -> int:
+    """Characters that any item of a list takes at least: the shortest ID, two quotes and a comma."""
+    if "shortest_item" not in catalog.prepared:
+        shortest = assets(catalog).agg(F.min(F.length("asset_id"))).first()[0]
+        catalog.prepared["shortest_item"] = (shortest or 0) + 3
+    return catalog.prepared["shortest_item"]
 
 
 def impact_items(catalog: Catalog) -> DataFrame:
@@ -273,10 +296,13 @@ def payload_base(catalog: Catalog) -> DataFrame:
 
 
 def impact_shown(catalog: Catalog, limit: int = IMPACT_OUTPUT_CHARS) -> DataFrame:
-    """The list items an answer shows: table_id, cut_order, rank, asset_id, truncated."""
-    return fit_to_limit(
-        payload_base(catalog), impact_items(catalog), ["table_id"], ["place", "asset_id"], limit,
-        MIN_ITEM_CHARS,
+    """The list items an answer shows: table_id, cut_order, rank, asset_id, truncated. Written once a session."""
+    return catalog.once(
+        f"impact_shown_{limit}",
+        lambda: fit_to_limit(
+            payload_base(catalog), impact_items(catalog), ["table_id"], ["place", "asset_id"], limit,
+            shortest_item(catalog),
+        ),
     )
 
 
@@ -310,10 +336,10 @@ def impact_analysis(catalog: Catalog, limit: int = IMPACT_OUTPUT_CHARS) -> DataF
     )
 
 
-def impact_fanout(catalog: Catalog) -> DataFrame:
+def impact_fanout(catalog: Catalog, limit: int = IMPACT_OUTPUT_CHARS) -> DataFrame:
     """Impact size of every table with its layer."""
     layers = catalog.tables.select("table_id", "name", "layer")
-    shown = impact_shown(catalog).groupBy("table_id").agg(
+    shown = impact_shown(catalog, limit).groupBy("table_id").agg(
         F.sum("item_chars").alias("chars"), F.count("*").alias("items"),
         F.count_distinct("cut_order").alias("lists"), F.bool_or("truncated").alias("cut"),
     )
@@ -333,6 +359,107 @@ def impact_fanout(catalog: Catalog) -> DataFrame:
     )
 
 
+def asked_scope(catalog: Catalog, asked: DataFrame) -> Catalog:
+    """The catalog narrowed to answers about asked(table_id): only these tables are walked from."""
+    if "table_steps" not in catalog.prepared:
+        catalog.prepared["table_steps"] = step_edges(
+            catalog.table_table_edges.selectExpr("parent_table_id AS src", "child_table_id AS dst")
+        )
+    tables = stage(catalog.tables.join(asked, "table_id", "left_semi"), "asked-tables")
+    found = reach(catalog.prepared["table_steps"], tables.select(F.col("table_id").alias("seed")))
+    closure = stage(found.select("seed", "node"), "asked-closure")
+    return replace(
+        catalog, tables=tables, built={"contacts": contacts(catalog), "table_closure": closure},
+        prepared={"shortest_item": shortest_item(catalog)},
+    )
+
+
+def impact_payloads(catalog: Catalog, limit: int = IMPACT_OUTPUT_CHARS) -> DataFrame:
+    """table_id, payload (the answer as JSON; NULL beyond PAYLOAD_CHARS), payload_chars, truncated, broken.
+
+    Lengths are known before anything is gathered, so only lists of answers within PAYLOAD_CHARS are made.
+    """
+    sizes = stage(impact_fanout(catalog, limit).select("table_id", "payload_chars", "truncated"), "impact-sizes")
+    fitting = sizes.where(F.col("payload_chars") <= PAYLOAD_CHARS).select("table_id")
+
+    def in_order(chosen: Column, order: Column, value: Column, name: str) -> Column:
+        return F.transform(
+            F.array_sort(F.collect_list(F.when(chosen, F.struct(order.alias("at"), value.alias("value"))))),
+            lambda item: item["value"],
+        ).alias(name)
+
+    names = [(2, "affected_tables"), (3, "affected_metrics"), (4, "unresolved_asset_ids")]
+    shown = impact_shown(catalog, limit).join(fitting, "table_id", "left_semi")
+    entries = report_entries(catalog).select("asset_id", "entry")
+    lists = shown.join(entries, "asset_id", "left").groupBy("table_id").agg(
+        in_order(F.col("cut_order") == 1, F.col("rank"), F.col("entry"), "affected_reports"),
+        *[in_order(F.col("cut_order") == n, F.col("rank"), F.col("asset_id"), name) for n, name in names],
+    )
+    listed = notify_list(catalog).join(fitting, "table_id", "left_semi").select(
+        "table_id", "employee_id", "rank", "total_usage_30d", "via_fallback"
+    )
+    assets_of = notified(catalog).select("table_id", F.col("notify_id").alias("employee_id"), "asset_id", "type")
+    persons = listed.join(assets_of, ["table_id", "employee_id"]).groupBy(*listed.columns).agg(
+        *[in_order(F.col("type") == kind, F.col("asset_id"), F.col("asset_id"), f"{kind}_ids") for kind in ("report", "metric")]
+    )
+    person = F.struct("employee_id", "full_name", "report_ids", "metric_ids", "total_usage_30d", "via_fallback")
+    notify = persons.join(catalog.employees.select("employee_id", "full_name"), "employee_id").groupBy("table_id").agg(
+        in_order(F.lit(True), F.col("rank"), person, "notify")
+    )
+    row = F.struct("department", "head_employee_id", "people_count", "report_count")
+    rollup = impact_rollup(catalog).groupBy("table_id").agg(in_order(F.lit(True), F.col("rank"), row, "notify_rollup"))
+    broken = affected(catalog).where("broken").select("table_id", F.lit(True).alias("broken")).distinct()
+    whole = impact_summary(catalog).join(sizes, "table_id")
+    for part in (lists, notify, rollup, broken):
+        whole = whole.join(part, "table_id", "left")
+    kinds = {**dict(lists.dtypes), **dict(notify.dtypes), **dict(rollup.dtypes)}
+
+    def full(name: str) -> Column:
+        return F.coalesce(name, F.array().cast(kinds[name])).alias(name)
+
+    answer = F.struct(
+        "table_id", "notify_mode", "notify_total_count", "notify_omitted_count", "affected_report_count",
+        "affected_metric_count", full("affected_tables"), full("affected_reports"), full("affected_metrics"),
+        full("notify"), full("notify_rollup"), full("unresolved_asset_ids"), "truncated",
+    )
+    return whole.select(
+        "table_id", F.when(F.col("payload_chars") <= PAYLOAD_CHARS, json_text(answer)).alias("payload"), "payload_chars",
+        "truncated", F.coalesce("broken", F.lit(False)).alias("broken"),
+    )
+
+
+def impact_answers(catalog: Catalog, requests: DataFrame, limit: int = IMPACT_OUTPUT_CHARS) -> DataFrame:
+    """requests(request_id, table_id) -> request_id, table_id, payload, payload_chars, truncated, error; a row each.
+
+    error(code, message) is INVALID_ARGUMENT for what is no table ID, NOT_FOUND for an unknown table, INTERNAL where
+    the owner of something affected cannot be looked up, TOO_LARGE beside the counted length of an answer over
+    PAYLOAD_CHARS; it is NULL beside a payload. IDs are trimmed. A table is walked once however often it is asked for.
+    """
+    table = F.regexp_replace(F.coalesce("table_id", F.lit("")), r"^\s+|\s+$", "")
+    wanted = requests.select("request_id", table.alias("table_id"))
+    asked = stage(wanted.where(record_type(F.col("table_id")) == "table").select("table_id").distinct(), "asked")
+    answers = stage(impact_payloads(asked_scope(catalog, asked), limit), "impact-answers")
+    salted, hot = split_hot_keys(wanted, "table_id", ["request_id"])
+    answered = salted.join(fan_out_hot_keys(answers, hot, "table_id"), ["table_id", "salt"], "left")
+
+    def error(code: str, message: str) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.concat("table_id", F.lit(message)).alias("message"))
+
+    kind = F.coalesce(record_type(F.col("table_id")), F.lit(""))
+    problem = (
+        F.when(kind != "table", error("INVALID_ARGUMENT", " is not a table ID"))
+        .when(F.col("payload_chars").isNull(), error("NOT_FOUND", " does not exist"))
+        .when(F.col("broken"), error("INTERNAL", " affects an asset whose owner cannot be looked up"))
+        .when(F.col("payload").isNull(), error("TOO_LARGE", " has an answer too long for one value"))
+    )
+    fine = F.col("error").isNull()
+    return answered.withColumn("error", problem).select(
+        "request_id", "table_id", F.when(fine, F.col("payload")).alias("payload"),
+        F.when(fine | (F.col("error.code") == "TOO_LARGE"), F.col("payload_chars")).alias("payload_chars"),
+        F.when(fine, F.col("truncated")).alias("truncated"), "error",
+    )
+
+
 def fanout_summary(catalog: Catalog) -> DataFrame:
     """Notify modes, largest audience and cut answers, per layer and overall."""
     return impact_fanout(catalog).rollup("layer").agg(

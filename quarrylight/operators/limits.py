@@ -27,7 +27,7 @@ def fit_to_limit(
 
     Dropping an item frees its text and one comma (none for the last one left), and "true" is
     one character shorter than "false", so what stays is the longest prefix, lists in descending
-    cut_order, whose running size fits. The total needs only sums; the running size is taken
+    cut_order, whose running size fits; a payload one character too long loses an item all the same. The total needs only sums; the running size is taken
     over the first limit / min_item_chars items of a list, since no more can ever fit, and the
     rank filter is applied before the shuffle (window group limit).
     """
@@ -51,6 +51,6 @@ def fit_to_limit(
     return (
         sized.join(totals, keys).join(fixed, keys)
         .withColumn("truncated", over)
-        .where(~over | (F.col("base_chars") - 1 + F.col("_run") <= limit))
+        .where(~over | ((F.col("base_chars") - 1 + F.col("_run") <= limit) & (F.col("_run") < F.col("_all"))))
         .drop("_run", "_all", "base_chars")
     )

@@ -234,7 +234,45 @@ view("ishown", """
       sum(chars + CASE WHEN rn > 1 THEN 1 ELSE 0 END)
         OVER (PARTITION BY table_id ORDER BY cut_order DESC, rn) AS run
     FROM {iitems} i JOIN {ibase} b USING (table_id)) y
-  WHERE base_chars + total <= 6000 OR base_chars - 1 + run <= 6000""")
+  WHERE base_chars + total <= 6000 OR (base_chars - 1 + run <= 6000 AND run < total)""")
+
+# The whole answer about a table as JSON.
+view("inotify_ids", """
+  SELECT seed AS table_id, contact_id AS employee_id, report_id, NULL AS metric_id
+  FROM {ireports} JOIN {reports} r USING (report_id) JOIN {contacts} c ON c.employee_id = r.owner_id
+  WHERE r.status = 'active'
+  UNION ALL SELECT seed, contact_id, NULL, metric_id
+  FROM {imetrics} JOIN {metrics} m USING (metric_id) JOIN {contacts} c ON c.employee_id = m.owner_id""")
+view("ipeople", """
+  SELECT table_id, list({'employee_id': employee_id, 'full_name': full_name, 'report_ids': report_ids,
+    'metric_ids': metric_ids, 'total_usage_30d': total_usage_30d, 'via_fallback': via_fallback} ORDER BY rank) AS notify
+  FROM (SELECT l.table_id, l.employee_id, l.rank, l.total_usage_30d, l.via_fallback,
+      coalesce(list(a.report_id ORDER BY a.report_id) FILTER (a.report_id IS NOT NULL), []) AS report_ids,
+      coalesce(list(a.metric_id ORDER BY a.metric_id) FILTER (a.metric_id IS NOT NULL), []) AS metric_ids
+    FROM {inotify_list} l JOIN {inotify_ids} a USING (table_id, employee_id) GROUP BY ALL) p
+  JOIN {employees} USING (employee_id) GROUP BY table_id""")
+view("idepartments", """
+  SELECT table_id, list({'department': department, 'head_employee_id': head_employee_id, 'people_count': people_count,
+    'report_count': report_count} ORDER BY people_count DESC, department) AS notify_rollup FROM {irollup} GROUP BY 1""")
+view("ilists", """
+  SELECT i.table_id, list(i.asset_id ORDER BY rn) FILTER (cut_order = 2) AS affected_tables,
+    list({'report_id': r.report_id, 'name': r.name, 'status': r.status, 'usage_30d': r.usage_30d,
+      'notify_employee_id': CASE WHEN r.status = 'active' THEN c.contact_id END, 'owner_resolved': c.resolved} ORDER BY rn)
+      FILTER (cut_order = 1) AS affected_reports,
+    list(i.asset_id ORDER BY rn) FILTER (cut_order = 3) AS affected_metrics,
+    list(i.asset_id ORDER BY rn) FILTER (cut_order = 4) AS unresolved_asset_ids, bool_or(cut) AS cut
+  FROM {ishown} i LEFT JOIN {reports} r ON r.report_id = i.asset_id AND cut_order = 1
+  LEFT JOIN {contacts} c ON c.employee_id = r.owner_id GROUP BY 1""")
+view("ipayloads", """
+  SELECT s.table_id, coalesce(cut, false) AS truncated, to_json({'table_id': s.table_id, 'notify_mode': notify_mode,
+    'notify_total_count': notify_total_count, 'notify_omitted_count': notify_omitted_count,
+    'affected_report_count': affected_report_count, 'affected_metric_count': affected_metric_count,
+    'affected_tables': coalesce(affected_tables, []), 'affected_reports': coalesce(affected_reports, []),
+    'affected_metrics': coalesce(affected_metrics, []), 'notify': coalesce(notify, []),
+    'notify_rollup': coalesce(notify_rollup, []), 'unresolved_asset_ids': coalesce(unresolved_asset_ids, []),
+    'truncated': coalesce(cut, false)})::VARCHAR AS payload
+  FROM {isummary} s LEFT JOIN {ilists} USING (table_id) LEFT JOIN {ipeople} USING (table_id)
+  LEFT JOIN {idepartments} USING (table_id)""")
 
 
 def _needs(sql: str) -> list[str]:

@@ -449,6 +449,15 @@ def get_record(spark, sf):
     return records.get_records(catalog(spark, sf), asked_records(spark, sf)).withColumn("error", F.col("error.code"))
 
 
+@query("impact_answer", """
+SELECT a.request_id, a.record_id AS table_id, p.payload, length(p.payload)::BIGINT AS payload_chars, p.truncated,
+  CASE WHEN a.kind IS NULL OR a.kind <> 'table' THEN 'INVALID_ARGUMENT' WHEN p.table_id IS NULL THEN 'NOT_FOUND' END AS error
+FROM {asked} a LEFT JOIN {ipayloads} p ON p.table_id = a.record_id""")
+def impact_answer(spark, sf):
+    asked = asked_records(spark, sf).withColumnRenamed("record_id", "table_id")
+    return impact.impact_answers(catalog(spark, sf), asked).withColumn("error", F.col("error.code"))
+
+
 @query("result_or_error", """
 SELECT a.request_id, CASE WHEN a.kind IS NULL OR a.kind NOT IN ('report', 'table', 'metric') THEN 'INVALID_ARGUMENT'
   WHEN c.asset_id IS NULL THEN 'NOT_FOUND' END AS error, c.resolved_owner_id, c.reason

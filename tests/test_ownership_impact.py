@@ -1,3 +1,4 @@
+import json
 import random
 from dataclasses import replace
 
@@ -109,6 +110,9 @@ def test_fit_to_limit_matches_trimming(spark):
     for n in range(60):
         lists = {o: [rng.randrange(2, 30) for _ in range(rng.randrange(0, 12))] for o in (1, 2, 3)}
         base = rng.randrange(20, 120)
+        chars = sum(sum(v) + max(len(v) - 1, 0) for v in lists.values())
+        if n % 3 == 0 and 0 < chars < 200:
+            base = 201 - chars
         cases[n] = (lists, base)
         fixed.append((n, base))
         items += [(n, o, p, c) for o, v in lists.items() for p, c in enumerate(v)]
@@ -140,3 +144,54 @@ def test_both_scorers_agree(spark, rule, given, gold_ids, abstained, expected):
     long_given = spark.createDataFrame([("i", x) for x in given], "item_id string, record_id string")
     rules = spark.createDataFrame([("i", rule, abstained)], "item_id string, scoring string, abstained boolean")
     assert gold.score_sets(long_gold, long_given, rules).first()["correct"] is expected
+
+
+def impact_of(spark, catalog, ids, limit=6000):
+    asked = spark.createDataFrame(list(enumerate(ids)), "request_id int, table_id string")
+    return {r["request_id"]: r for r in impact.impact_answers(catalog, asked, limit).collect()}
+
+
+def test_impact_answers(spark, mini):
+    got = impact_of(spark, mini, [table_id(4), f" {table_id(8)} ", "TBL-999", "RPT-0001", None, table_id(4)])
+    answer = json.loads(got[0]["payload"])
+    assert got[5]["payload"] == got[0]["payload"] and got[0]["payload_chars"] == len(got[0]["payload"])
+    assert [r["report_id"] for r in answer["affected_reports"]] == [f"RPT-{n:04d}" for n in (1, 5, 2, 6, 7, 4)]
+    assert answer["affected_reports"][-1] == {
+        "report_id": "RPT-0004", "name": "Report 4", "status": "deprecated", "usage_30d": 1,
+        "notify_employee_id": None, "owner_resolved": True,
+    }
+    assert answer["affected_tables"] == [table_id(5), table_id(6)]
+    assert [(p["employee_id"], p["report_ids"], p["metric_ids"], p["via_fallback"]) for p in answer["notify"]] == [
+        ("EMP-004", ["RPT-0001", "RPT-0002", "RPT-0006"], ["MET-001"], False), ("EMP-003", ["RPT-0005"], [], False),
+        ("EMP-002", ["RPT-0007"], ["MET-002"], True),
+    ]
+    assert answer["unresolved_asset_ids"] == ["MET-002", "RPT-0007"] and answer["notify_rollup"] == []
+    alone = json.loads(got[1]["payload"])
+    assert alone["notify_total_count"] == 0 and alone["affected_reports"] == [] and not alone["truncated"]
+    assert [got[i]["error"]["code"] for i in (2, 3, 4)] == ["NOT_FOUND", "INVALID_ARGUMENT", "INVALID_ARGUMENT"]
+
+
+def test_impact_answers_are_cut_to_the_cap(spark, mini):
+    whole = impact_of(spark, mini, [table_id(4)])[0]
+    cut = impact_of(spark, mini, [table_id(4)], whole["payload_chars"] - 1)[0]
+    shorter = json.loads(cut["payload"])
+    assert cut["truncated"] and shorter["truncated"] and len(cut["payload"]) < whole["payload_chars"]
+    assert [r["report_id"] for r in shorter["affected_reports"]] == [f"RPT-{n:04d}" for n in (1, 5, 2, 6, 7)]
+
+
+def test_dangling_owner_makes_the_answer_internal(spark, mini):
+    broken = replace(
+        mini, built={}, prepared={},
+        reports=mini.reports.withColumn("owner_id", F.expr("IF(report_id = 'RPT-0003', 'EMP-999', owner_id)")),
+    )
+    got = impact_of(spark, broken, [table_id(7), table_id(4), table_id(1)])
+    assert [got[i]["error"] and got[i]["error"]["code"] for i in range(3)] == ["INTERNAL", None, "INTERNAL"]
+    counts = {r["table_id"]: r["affected_report_count"] for r in impact.impact_summary(broken).collect()}
+    assert counts[table_id(7)] == 2
+
+
+def test_an_answer_too_long_for_one_value(spark, mini, monkeypatch):
+    monkeypatch.setattr(impact, "PAYLOAD_CHARS", 400)
+    got = impact_of(spark, mini, [table_id(4), table_id(8)])
+    assert got[0]["error"]["code"] == "TOO_LARGE" and got[0]["payload"] is None and got[0]["payload_chars"] > 400
+    assert got[1]["error"] is None
