@@ -111,12 +111,17 @@ def contacts(catalog: Catalog) -> DataFrame:
 
 
 def resolve_owner(catalog: Catalog, requests: DataFrame | None = None) -> DataFrame:
-    """Every asset (or the asked ones) with its walk. Unknown IDs come back as error rows."""
+    """Every asset (or the asked ones) with its walk. Unknown IDs come back as error rows.
+
+    An owner who does not exist is an inconsistency of the records: no walk, INTERNAL when asked for.
+    """
     owned = assets(catalog).select("asset_id", "owner_id")
     walks = contacts(catalog).withColumnRenamed("employee_id", "owner_id")
-    answered = owned.join(walks, "owner_id").select(
-        "asset_id", F.col("owner_id").alias("original_owner_id"), "resolved",
-        "resolved_owner_id", "hops", "path", "fallback_contact_id", "reason",
+    answered = owned.join(walks, "owner_id", "left").select(
+        "asset_id", F.col("owner_id").alias("original_owner_id"),
+        F.coalesce("resolved", F.lit(False)).alias("resolved"),
+        "resolved_owner_id", "hops", "path", "fallback_contact_id",
+        F.coalesce("reason", F.lit("inconsistent")).alias("reason"),
     )
     if requests is None:
         return answered

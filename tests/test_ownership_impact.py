@@ -33,13 +33,14 @@ def test_dangling_pointer_is_an_internal_error(spark, mini):
         "successor_id",
         F.expr("CASE WHEN employee_id = 'EMP-008' THEN 'EMP-999' ELSE successor_id END"),
     )
-    catalog = replace(mini, employees=broken, built={}, prepared={})
+    reports = mini.reports.withColumn("owner_id", F.expr("IF(report_id = 'RPT-0003', 'EMP-998', owner_id)"))
+    catalog = replace(mini, employees=broken, reports=reports, built={}, prepared={})
     asked = spark.createDataFrame(
-        [("RPT-0002",), ("RPT-9999",), ("EMP-001",), ("RPT-0001",)], "asset_id string"
+        [("RPT-0002",), ("RPT-9999",), ("EMP-001",), ("RPT-0001",), ("RPT-0003",)], "asset_id string"
     )
     got = {r["asset_id"]: r["error"] for r in ownership.resolve_owner(catalog, asked).collect()}
     assert got == {"RPT-0002": "INTERNAL", "RPT-9999": "NOT_FOUND", "EMP-001": "INVALID_ARGUMENT",
-                   "RPT-0001": None}
+                   "RPT-0001": None, "RPT-0003": "INTERNAL"}
 
 
 def test_impact_of_table_four(mini):
