@@ -662,8 +662,8 @@ def departed_share(catalog: Catalog) -> DataFrame:
 
 
 def opening_words(df: DataFrame, text: str) -> DataFrame:
-    """First word of every text with its share of all texts that have one."""
-    words = df.select(ascii_words(F.col(text))[0].alias("word")).where("word IS NOT NULL")
+    """First word of every text with its share of all texts that have one; a text may have none."""
+    words = df.select(F.regexp_extract(F.lower(text), "([a-z0-9]+)", 1).alias("word")).where("word <> ''")
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total)

@@ -112,3 +112,10 @@ def test_failure_stops_batch_matches_a_scan(spark):
                     expected.add((run, s))
     offset = spark.range(1).select(F.timestamp_seconds(F.lit(0)).alias("t")).first()["t"].timestamp()
     assert {(r, t - offset) for r, t in got} == expected
+
+
+def test_texts_without_a_word_have_no_opening_word(spark, mini):
+    texts = spark.createDataFrame([("Order one",), ("order two",), ("-- x1",), ("",), ("… 中",), (None,)], "t string")
+    got = {r["word"]: (r["n"], round(r["share"], 6)) for r in quality.opening_words(texts, "t").collect()}
+    assert got == {"order": (2, 0.666667), "x1": (1, 0.333333)}
+    assert quality.opening_words(texts.where("t = ''"), "t").collect() == []
