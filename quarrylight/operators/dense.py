@@ -15,6 +15,8 @@ from quarrylight.config import NO_SPREAD, RRF_CANDIDATES
 BROADCAST_QUERIES = 4096
 # Documents per block when the queries are too many to hand out.
 BLOCK_DOCS = 65_536
+# Cosines that a task holds at a time: 32 MB of doubles.
+CELL_COSINES = 4_194_304
 # Cosines are ranked at nine digits, so equal vectors tie whatever block they are in.
 DIGITS = 9
 
@@ -58,40 +60,49 @@ def _best(ids: np.ndarray, cosines: np.ndarray, n: int) -> np.ndarray:
 def _block(
     docs: pd.DataFrame, queries: pd.DataFrame, n: int, skip_self: bool
 ) -> Iterator[pd.DataFrame]:
-    """Per query: its best n of these documents, and one row of moments over all of them."""
+    """Per query: its best n of these documents, and one row of moments over all of them.
+
+    Queries are taken a slice at a time, so no more than CELL_COSINES cosines exist at once.
+    """
     if not len(docs) or not len(queries):
         return
     left = np.stack(docs["embedding"].to_numpy()).astype(np.float64)
-    right = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-    cosines = np.round(left @ right.T, DIGITS) + 0.0  # no negative zeros
     ids = docs["doc_id"].to_numpy().astype(str)
+    own = pd.Series(ids).groupby(ids).indices if skip_self else {}
     filters = _filters(queries)
     # Queries with the same filter share its mask.
     masks = {one: _allowed(docs, one) for one in set(filters)}
-    found: dict[str, list] = {"query_id": [], "doc_id": [], "cosine": []}
-    moments: dict[str, list] = {"query_id": [], "n": [], "total": [], "squares": []}
-    for j, query_id in enumerate(queries["query_id"]):
-        keep = masks[filters[j]]
-        if skip_self:
-            keep = keep & (ids != query_id)
-        mine, my_ids = cosines[keep, j], ids[keep]
-        if not len(mine):
+    step = max(1, CELL_COSINES // len(docs))
+    for start in range(0, len(queries), step):
+        some = queries.iloc[start : start + step]
+        right = np.stack(some["embedding"].to_numpy()).astype(np.float64)
+        cosines = right @ left.T
+        np.round(cosines, DIGITS, out=cosines)
+        cosines += 0.0  # no negative zeros
+        found: dict[str, list] = {"query_id": [], "doc_id": [], "cosine": []}
+        moments: dict[str, list] = {"query_id": [], "n": [], "total": [], "squares": []}
+        for j, query_id in enumerate(some["query_id"]):
+            keep = masks[filters[start + j]]
+            if query_id in own:
+                keep = keep.copy()
+                keep[own[query_id]] = False
+            mine, my_ids = cosines[j, keep], ids[keep]
+            if not len(mine):
+                continue
+            best = _best(my_ids, mine, n)
+            found["query_id"].append(np.full(len(best), query_id, dtype=object))
+            found["doc_id"].append(my_ids[best].astype(object))
+            found["cosine"].append(mine[best])
+            moments["query_id"].append(query_id)
+            moments["n"].append(len(mine))
+            moments["total"].append(mine.sum())
+            moments["squares"].append(np.square(mine).sum())
+        if not moments["query_id"]:
             continue
-        best = _best(my_ids, mine, n)
-        found["query_id"].append(np.full(len(best), query_id, dtype=object))
-        found["doc_id"].append(my_ids[best].astype(object))
-        found["cosine"].append(mine[best])
-        moments["query_id"].append(query_id)
-        moments["n"].append(len(mine))
-        moments["total"].append(mine.sum())
-        moments["squares"].append(np.square(mine).sum())
-    if not moments["query_id"]:
-        return
-    hits = pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
-    hits = hits.assign(n=pd.array([pd.NA] * len(hits), dtype="Int64"), total=np.nan, squares=np.nan)
-    yield hits
-    sums = pd.DataFrame(moments).assign(doc_id=None, cosine=np.nan).astype({"n": "Int64"})
-    yield sums[["query_id", "doc_id", "cosine", "n", "total", "squares"]]
+        hits = pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
+        yield hits.assign(n=pd.array([pd.NA] * len(hits), dtype="Int64"), total=np.nan, squares=np.nan)
+        sums = pd.DataFrame(moments).assign(doc_id=None, cosine=np.nan).astype({"n": "Int64"})
+        yield sums[["query_id", "doc_id", "cosine", "n", "total", "squares"]]
 
 
 def dense_partials(
@@ -123,9 +134,13 @@ def dense_partials(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
     left = left.withColumn("db", F.col("db").cast("bigint"))
-    right = right.withColumn("qb", F.col("qb").cast("bigint"))
+    # Queries and documents may come from one table: names of their own keep the two sides' columns apart.
+    right = right.withColumn("qb", F.col("qb").cast("bigint")).select(
+        *[F.col(c).alias(f"right_{c}") for c in [*docs.columns, "qb", "db"]]
+    )
 
     def cell(some_queries: pd.DataFrame, some_docs: pd.DataFrame) -> pd.DataFrame:
+        some_docs = some_docs.rename(columns=lambda name: name.removeprefix("right_"))
         parts = list(_block(some_docs, some_queries, n, skip_self))
         if parts:
             return pd.concat(parts, ignore_index=True)
@@ -136,7 +151,7 @@ def dense_partials(
         )
 
     return (
-        left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(cell, _PARTIAL)
+        left.groupBy("qb", "db").cogroup(right.groupBy("right_qb", "right_db")).applyInPandas(cell, _PARTIAL)
     )
 
 
