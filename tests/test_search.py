@@ -225,3 +225,41 @@ def test_search_plan_has_no_pairwise_join(spark, corpus):
 def test_names_are_matched_on_word_borders(spark, corpus):
     hit = search.name_in_query(ask(spark, "the dealer margin older"), corpus.names)
     assert {r["doc_id"] for r in hit.collect()} == {"RPT-0001"}
+
+
+def test_vectors_of_one_table_meet_each_other_in_blocks(spark, monkeypatch):
+    """Queries and documents from one table, beyond the size that is handed out."""
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 30)
+    monkeypatch.setattr(dense, "BLOCK_DOCS", 40)
+    raw, _, frame = vectors(spark, 100, 8, 3)
+    queries = frame.selectExpr(
+        "doc_id AS query_id", "embedding", "cast(NULL AS array<string>) AS kinds", "department", "true AS include_deprecated")
+    found = dense.rank_dense(dense.dense_partials(queries, frame, 4, skip_self=True), 4).collect()
+    cosines = np.round(raw @ raw.T, 9)
+    expected = {(f"d{q:03d}", rank, f"d{d:03d}") for q in range(100) for rank, d in enumerate(
+        sorted((d for d in range(100) if d != q), key=lambda d: (-cosines[q, d], d))[:4], 1)}
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in found} == expected
+
+
+def test_a_block_holds_few_cosines_at_a_time(spark, monkeypatch):
+    _, _, frame = vectors(spark, 50, 8, 4)
+    some = frame.toPandas()
+    asked = some.rename(columns={"doc_id": "query_id"}).assign(kinds=None, include_deprecated=True)
+    whole = list(dense._block(some, asked, 3, True))
+    monkeypatch.setattr(dense, "CELL_COSINES", 120)
+    sliced = list(dense._block(some, asked, 3, True))
+    assert len(whole) == 2 and len(sliced) == 50
+    for part in (0, 1):
+        both = [[tuple(r) for r in df[["query_id", "doc_id"]].itertuples(index=False)] for df in sliced[part::2]]
+        assert sum(both, []) == [tuple(r) for r in whole[part][["query_id", "doc_id"]].itertuples(index=False)]
+
+
+def test_parts_of_a_corpus_are_built_when_asked_for(spark, monkeypatch):
+    written = []
+    whole = search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name: written.append(name) or whole(df, name))
+    corpus = search.build_corpus(docs(spark, FIVE))
+    assert search.name_in_query(ask(spark, "the dealer margin"), corpus.names).count() == 1
+    assert written == ["docs", "names"]
+    assert search.search_all_modes(ask(spark, "dealer margin"), corpus).signal.first()["exact_match"]
+    assert written == ["docs", "names", "vectors", "dense"] and "index" not in vars(corpus)
