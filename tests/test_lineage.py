@@ -194,3 +194,22 @@ def test_fixed_depth_baseline_walks_as_deep_as_asked(spark):
     assert got == {(table_id(11), 8): (8, 3), (table_id(11), 2): (2, 3), (table_id(4), 9): (4, 3)}
     none = gold.default_depth_baseline(chain, asked.limit(0))
     assert none.collect() == []
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_ends_of_a_graph_are_met_in_one_step(spark, monkeypatch, hot):
+    """Leaves are not walked on from, and seeds that nothing leads to share the walk of what they come to."""
+    written = {}
+    whole, split = lineage.stage, lineage.split_hot_keys
+    monkeypatch.setattr(lineage, "stage", lambda df, name: written.setdefault(name, whole(df, name)))
+    if hot:
+        monkeypatch.setattr(lineage, "split_hot_keys", lambda df, key, by: split(df, key, by, hot_rows=3))
+    named = [(f"top{i}", f"mid{i % 2}") for i in range(9)] + [("top0", "leaf0"), ("mid0", "mid1"), ("mid1", "mid2"), ("mid2", "mid0")]
+    named += [(f"mid{i % 3}", f"leaf{i}") for i in range(20)]
+    depths = {f"top{i}": i % 5 for i in range(9)} | {"mid0": 2, "mid1": 1, "leaf3": 4, "none": 2}
+    edges = spark.createDataFrame(named, "src string, dst string")
+    asked = spark.createDataFrame(list(depths.items()), "seed string, depth int")
+    got = {(r["seed"], r["depth"], r["node"], r["distance"]) for r in lineage.reach_within(edges, asked).collect()}
+    assert got == {(s, d, n, k) for s, d in depths.items() for _, n, k in brute(named, [s], d)}
+    walked = {(r["seed"], r["node"]) for r in written["walked"].where("distance > 0").collect()}
+    assert walked and {name[:3] for pair in walked for name in pair} == {"mid"}
