@@ -61,3 +61,33 @@ def test_positions_cross_bytes_and_buckets(spark):
         F.bitmap_construct_agg(F.pmod("position", F.lit(n)).cast("long")).alias("bitmap"))
     got = packed.select("bucket", bitmaps.positions_of(F.col("bitmap")).alias("all")).collect()
     assert sorted(r.bucket * n + p for r in got for p in r["all"]) == wanted
+
+
+def test_nodes_nothing_leads_to_take_no_part_in_the_levels(spark, monkeypatch):
+    """A chain walked level by level under many starts: the levels hold the chain's bitmaps alone, the starts come once."""
+    chain = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(6)]
+    starts = [(f"s{k:03d}", f"n{k % 6:02d}") for k in range(200)] + [("s000", f"n{k:02d}") for k in range(6)]
+    written, stage = [], bitmaps.stage
+
+    def noted(df, name):
+        written.append((name, staged := stage(df, name)))
+        return staged
+
+    monkeypatch.setattr(bitmaps, "stage", noted)
+    monkeypatch.setattr(bitmaps, "release", lambda *staged: None)
+    reached = bitmaps.reach_bitmaps(spark.createDataFrame(chain + starts, "src string, dst string"))
+    levels = [df for name, df in written if name == "reach-bitmaps"]
+    assert len(levels) > 3 and all(df.where("seed like 's%'").isEmpty() for df in levels)
+    expected = brute_reach(chain + starts)
+    counts = {r.seed: (r.n, r.first_id, r.last_id) for r in bitmaps.reach_counts(reached).collect()}
+    assert counts == {s: (len(n), min(n), max(n)) for s, n in expected.items()}
+
+
+def test_words_hold_every_bit_of_a_bitmap(spark):
+    n = bitmaps.BUCKET_BITS
+    wanted = [0, 1, 63, 64, 127, 4095, n - 1, n, n + 63, 2 * n + 5]
+    rows = spark.createDataFrame([("s", "", p) for p in wanted], "seed string, kind string, position long")
+    packed = rows.groupBy("seed", "kind", bitmaps.bucket_of(F.col("position")).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.pmod("position", F.lit(n)).cast("long")).alias("bitmap"))
+    got = bitmaps.words_of(packed).collect()
+    assert sorted(r.word * 64 + b for r in got for b in range(64) if (r.bits >> b) & 1) == wanted
