@@ -196,3 +196,21 @@ def test_an_answer_too_long_for_one_value(spark, mini, monkeypatch):
     got = impact_of(spark, mini, [table_id(4), table_id(8)])
     assert got[0]["error"]["code"] == "TOO_LARGE" and got[0]["payload"] is None and got[0]["payload_chars"] > 400
     assert got[1]["error"] is None
+
+
+def test_affected_pairs_are_shuffled_without_what_the_asset_alone_decides(mini, monkeypatch, capsys):
+    """Pairs are dealt out by asset once, as two IDs; the other columns join there."""
+    from dataclasses import replace
+
+    from quarrylight.operators import impact
+    from quarrylight.sources.catalog import Catalog
+
+    monkeypatch.setattr(Catalog, "once", lambda self, name, build: build())
+    links = mini.report_table_edges
+    twice = replace(mini, report_table_edges=links.union(links), built={}, prepared={})
+    found = impact.affected(twice)
+    found.explain()
+    shuffles = [line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(" in line]
+    assert shuffles and not [line for line in shuffles if "usage_30d" in line and ("seed" in line or "table_id" in line)]
+    rows = [tuple(r) for r in found.select("table_id", "asset_id").collect()]
+    assert len(rows) == len(set(rows)) and ("TBL-004", "RPT-0007") in rows and ("TBL-008", "RPT-0001") not in rows
