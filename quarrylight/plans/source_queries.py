@@ -11,6 +11,7 @@ from quarrylight.plans.quality_queries import chains, topics
 from quarrylight.plans.registry import query
 from quarrylight.plans.run_bindings import answers, items, lines
 from quarrylight.plans.run_queries import quota
+from quarrylight.schemas import CATALOG
 from quarrylight.sources import runs as run_files
 from quarrylight.sources.catalog import export_strings, read_catalog, read_raw_strings, write_catalog
 from quarrylight.sources.staging import staging_dir
@@ -22,14 +23,14 @@ def scratch(spark, name: str) -> str:
     return f"{staging_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
 
 
-def exported(spark, sf) -> str:
-    """The catalog written as CSV once per session."""
+def exported(spark, sf, names=tuple(CATALOG)) -> str:
+    """The folder of the catalog as CSV; each table is written once per session, when it is first read."""
     cat = catalog(spark, sf)
-    if "csv" not in cat.prepared:
-        path = scratch(spark, "catalog")
-        write_catalog(cat, path)
-        cat.prepared["csv"] = path
-    return cat.prepared["csv"]
+    path, written = cat.prepared.setdefault("csv", (scratch(spark, "catalog"), set()))
+    missing = [name for name in names if name not in written]
+    write_catalog(cat, path, missing)
+    written.update(missing)
+    return path
 
 
 @query("read_catalog", """
@@ -61,7 +62,7 @@ def write_back(spark, sf):
 @query("read_raw_strings", """
 SELECT report_id, name, usage_30d::VARCHAR AS usage_30d, coalesce(replaced_by_report_id, '') AS replaced_by FROM {reports}""")
 def raw_strings(spark, sf):
-    return read_raw_strings(spark, exported(spark, sf), "reports").select(
+    return read_raw_strings(spark, exported(spark, sf, ["reports"]), "reports").select(
         "report_id", "name", "usage_30d", F.col("replaced_by_report_id").alias("replaced_by")
     )
 

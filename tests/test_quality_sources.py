@@ -3,11 +3,13 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.conftest import mini_rows
 from quarrylight import schemas
 from quarrylight.operators import quality
+from quarrylight.plans import source_queries
 from quarrylight.sources import catalog as catalogs
 from quarrylight.sources import runs as run_files
 from quarrylight.sources.embeddings import embed_texts, extend_store
@@ -57,6 +59,18 @@ def test_csv_round_trip(spark, mini):
         catalogs.read_catalog(spark, path + "-missing")
 
 
+def test_tables_are_exported_when_they_are_read(spark, mini, monkeypatch):
+    monkeypatch.setattr(source_queries, "catalog", lambda spark, sf: mine)
+    mine = replace(mini, built={}, prepared={})
+    path = source_queries.exported(spark, "", ["reports"])
+    wanted = sorted(map(str, catalogs.export_strings(mini.reports, "reports").collect()))
+    assert sorted(map(str, catalogs.read_raw_strings(spark, path, "reports").collect())) == wanted
+    with pytest.raises(AnalysisException):
+        catalogs.read_raw_strings(spark, path, "tables").collect()
+    assert source_queries.exported(spark, "") == path
+    assert catalogs.read_raw_strings(spark, path, "tables").count() == mini.tables.count()
+
+
 def test_rows_are_validated(spark, mini):
     raw = catalogs.export_strings(mini.employees, "employees").withColumn(
         "start_date", F.when(F.col("employee_id") == "EMP-004", "soon").otherwise(F.col("start_date"))
