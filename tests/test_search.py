@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarrylight.config import BM25_B, BM25_K1
+from quarrylight.functions.vectors import hash_embed
 from quarrylight.operators import bench, dense, search
 from quarrylight.operators.bm25 import (
     block_bounds, block_of, bm25_scores, build_index, query_terms, rank_bm25, ranked_rounds,
@@ -45,6 +47,33 @@ def test_frequent_words_get_the_floor(spark):
     assert idf["a1"] == pytest.approx(0.25 * (3 * rare + common) / 4)
 
 
+def test_rows_of_one_id_count_together_and_as_often_as_they_come(spark):
+    index = build_index(docs(spark, [
+        ("d0", "report", "alpha beta", None, None, []), ("d0", "report", "alpha beta", None, None, []),
+        ("d1", "report", "beta", None, None, []), ("d2", "report", "", None, None, []),
+    ]))
+    assert sorted((r["doc_id"], r["dl"]) for r in index.docs.collect()) == [("d0", 4), ("d0", 4), ("d1", 1), ("d2", 0)]
+    assert sorted((r["token"], r["df"]) for r in index.terms.collect()) == [("alpha", 1), ("beta", 2)]
+    weight = math.log(3.5 / 1.5) * 2 * (BM25_K1 + 1) / (2 + BM25_K1 * (1 - BM25_B + BM25_B * 4 / (9 / 4)))
+    assert bm25_scores(ask(spark, "alpha"), index).first()["score"] == pytest.approx(2 * weight, abs=1e-8)
+    assert rank_bm25(ask(spark, "alpha"), index, 3).first()["score"] == pytest.approx(2 * weight, abs=1e-8)
+
+
+def test_only_asked_postings_are_met_and_they_are_not_shuffled(spark):
+    index = build_index(many_docs(spark))
+    asked = index.postings_of(query_terms(ask(spark, "w1 w3 absent")))
+    assert {r["token"] for r in asked.select("token").distinct().collect()} == {"w1", "w3"}
+    assert "Exchange hashpartitioning" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_dealt_out_once_to_be_embedded(spark):
+    frame = plain(spark, "alpha beta", "", "gamma").unionByName(plain(spark, "beta"))
+    embedded = hash_embed(frame, "doc_id", "dense_text")
+    assert embedded._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    merged = hash_embed(plain(spark, "alpha beta beta", "", "gamma"), "doc_id", "dense_text")
+    assert sorted(embedded.collect()) == sorted(merged.collect())
+
+
 def test_ties_go_to_the_lower_id_and_blocks_change_nothing(spark):
     frame = plain(spark, *["same words here"] * 6, "other")
     whole = rank_bm25(ask(spark, "same"), build_index(frame), 4).orderBy("rank").collect()
