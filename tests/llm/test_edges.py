@@ -3,6 +3,7 @@
 import math
 import random
 import textwrap
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import corpus_pipeline
 from quarrylight.llm import chat_format, language_model, private_data, source_mixing, token_files
 from quarrylight.llm.decontamination import benchmark_hits, decontaminate
 from quarrylight.llm.main_text import extract_main_text, main_text
-from quarrylight.llm.near_duplicates import Link, near_duplicates
+from quarrylight.llm.near_duplicates import Link, near_duplicates, shingle_set
 from quarrylight.llm.quality_rules import quality_rules
 from quarrylight.llm.token_counts import token_counts
 
@@ -48,6 +49,15 @@ def test_near_duplicates(odd, none):
     assert near_duplicates(none, Link()).count() == 0
 
 
+def test_a_worker_keeps_no_words_of_texts_it_has_hashed():
+    text = " ".join(f"word{i}" for i in range(200_000))
+    tracemalloc.start()
+    assert len(shingle_set(text, 3)) == 199_998
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 2_000_000
+
+
 def test_chain_of_copies_is_one_component(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [(n, " ".join(words[: 300 + 8 * n])) for n in range(10)]
