@@ -91,3 +91,24 @@ def test_words_hold_every_bit_of_a_bitmap(spark):
         F.bitmap_construct_agg(F.pmod("position", F.lit(n)).cast("long")).alias("bitmap"))
     got = bitmaps.words_of(packed).collect()
     assert sorted(r.word * 64 + b for r in got for b in range(64) if (r.bits >> b) & 1) == wanted
+
+
+@pytest.mark.parametrize("name", list(graphs()))
+@pytest.mark.parametrize("back", [False, True])
+def test_counts_are_walked_where_a_side_is_handed_out(spark, monkeypatch, name, back):
+    """The same counts without a bitmap: forward, and back where the other side is the small one."""
+    from quarrylight.operators import handed_reach
+
+    edges = graphs()[name]
+    expected = brute_reach(edges)
+    ends = {n for nodes in expected.values() for n in nodes}
+    kinds = spark.createDataFrame([(n, "odd" if int(n[-1:], 36) % 2 else None) for n in sorted(ends)], "id string, kind string")
+    monkeypatch.setattr(bitmaps, "direct_bitmaps", None)
+    hand_out, calls = handed_reach.hand_out, []
+    monkeypatch.setattr(handed_reach, "hand_out", lambda *a: None if back and not calls and not calls.append(1) else hand_out(*a))
+    reached = bitmaps.reach_bitmaps(spark.createDataFrame(edges, "src string, dst string"), kinds, counts_only=True)
+    assert reached.forward is not back
+    # Nodes of no kind are passed, not counted.
+    odd = {seed: [n for n in nodes if int(n[-1:], 36) % 2] for seed, nodes in expected.items()}
+    wanted = {(seed, "odd"): (len(some), min(some), max(some)) for seed, some in odd.items() if some}
+    assert {(r.seed, r.kind): (r.n, r.first_id, r.last_id) for r in bitmaps.reach_counts(reached).collect()} == wanted
