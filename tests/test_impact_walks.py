@@ -42,6 +42,7 @@ def test_walks_give_the_rows_of_the_joins(spark, mini, monkeypatch):
     monkeypatch.setattr(impact, "NOTIFY_DETAIL_MAX", 2)
     monkeypatch.setattr(impact, "NOTIFY_BROADCAST_TOP", 1)
     monkeypatch.setattr(impact, "PERSON_UNITS", 2)
+    monkeypatch.setattr(impact, "PART_UNITS", 2)
     asked = spark.createDataFrame([(n, table_id(n)) for n in (1, 4, 8, 9, 20)], "request_id int, table_id string")
     found = {}
     for bound in (handed_graph.HANDED_EDGES, 0):
